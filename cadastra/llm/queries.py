@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.common import table
 from cadastra.llm.ngram_jaccard import near_duplicates
+from cadastra.llm.substring_dedup import remove_repeats
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,35 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when every repeated window of 20 words is removed."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, greatest(len(ws) - 19, 0) + 1)) AS i,
+         unnest(list_transform(range(1, greatest(len(ws) - 19, 0) + 1), lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) AS k
+  FROM words
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+), covered AS (
+  SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM repeated) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, ws, CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(js, j)) END AS ks
+  FROM words LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(ks) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256
+FROM kept
+""",
+}

@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, at least n + 1 of each."""
     size = max(CHUNK * 2, n + 1)
     if size not in _powers:
         _powers.clear()
@@ -72,7 +73,7 @@ class Words:
         last[edge - 1] = inside[edge - 1]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.of = np.searchsorted(self.start, offsets)
-        power, inverse = _power(n)
+        power, inverse = powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * power[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
@@ -100,6 +101,6 @@ class Words:
             if b - a >= k:
                 yield np.unique(grams[a : b - k + 1])
             elif b > a:
-                yield mix(np.array([np.sum(self.hash[a:b] * ODD[: b - a]) + ODD[40 + (b - a) % 20]], np.uint64))
+                yield mix(np.array([np.sum(np.append(self.hash[a:b] * ODD[: b - a], ODD[40 + (b - a) % 20]))], np.uint64))
             else:
                 yield np.zeros(0, np.uint64)
