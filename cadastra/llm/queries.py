@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import table
+from cadastra.llm.fingerprints import edited_fingerprints
 from cadastra.llm.ngram_jaccard import near_duplicates
+from cadastra.llm.packing import pack
 from cadastra.llm.substring_dedup import remove_repeats
 
 
@@ -15,6 +18,16 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left when every repeated window of 20 words is removed."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -23,7 +36,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op6_packing": op6_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
