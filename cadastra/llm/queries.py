@@ -10,7 +10,15 @@ from cadastra.llm.common import table
 from cadastra.llm.fingerprints import edited_fingerprints
 from cadastra.llm.ngram_jaccard import near_duplicates
 from cadastra.llm.packing import pack
+from cadastra.llm.pii import KINDS, find_pii, listed
+from cadastra.llm.sharding import shard
 from cadastra.llm.substring_dedup import remove_repeats
+from cadastra.llm.url_filter import filter_urls
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url."""
+    return filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +26,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -34,11 +49,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose counts differ by one at most."""
+    placed = shard(table(spark, sf_dir, "documents"), 40)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
