@@ -3,17 +3,19 @@
 Documents are sets of k-word shingles. Documents of one set form a class, of which the smallest
 doc_id goes on. Then
 
-1. classes that agree in several of ``HASHES`` minimum hashes are compared with a leader each, and
-   what links is put together: this partitions similar documents into groups;
+1. each class looks for a leader, an earlier class that agrees in several of ``HASHES`` minimum
+   hashes. This partitions similar documents into groups, whether they link or not. Classes that do
+   link with their leader are put together, so most copies are connected from here on;
 2. each group is cut into blocks of bounded size, and the matrix (token, block) holds the union of
    the tokens in its members' prefixes. A prefix is the 1 - t share of a set that comes first in one
    global order (frequent shingles last); two sets of Jaccard t or more share prefix tokens, and a
    lower bound on how many follows from the sizes;
-3. a document opens a block of another group only if it meets enough of the block's tokens. There
-   the union of the members' whole sets bounds the overlap again, and only then are members compared.
+3. a document opens a block only if it meets enough of the tokens of members not connected with it.
+   There the union of the members' whole sets bounds the overlap again, and only then are these
+   members compared.
 
-Steps 1 and the order in step 2 affect the work and never the result: every pair of different
-groups that could link is compared exactly, and a pair within a group is connected already.
+Steps 1 and the order in step 2 affect the work and never the result: every pair that could link
+and isn't connected yet is compared exactly.
 
 Rows: a null or wordless text is an empty set, which links with nothing. Rows of equal doc_id count
 as one document. A null doc_id gets a null component. Other columns are ignored.
@@ -106,18 +108,18 @@ def _sets(k: int) -> Callable:
 
 
 def _opened(num: int, den: int) -> Callable:
-    """Over rows sorted by group and kind (members first): one link a query and group at most."""
+    """Over rows sorted by block and kind (members first): a query's links with parts not its own, one each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, union = None, [], [], None
         for batch in batches:
             a, b = [], []
-            for gid, block, salt, kind, doc, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gid, block, salt, kind, doc, part, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (gid, block, salt) != key:
                     key, ids, sets, union = (gid, block, salt), [], [], None
                 tokens = np.frombuffer(tokens, np.uint64)
                 if kind == 0:
-                    ids.append(doc)
+                    ids.append((doc, part))
                     sets.append(tokens)
                     continue
                 if not ids or not len(tokens):
@@ -126,34 +128,35 @@ def _opened(num: int, den: int) -> Callable:
                     joined = np.concatenate(sets)
                     union, sizes = np.unique(joined), np.array([len(s) for s in sets])
                     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    parts = np.array([p for _, p in ids])
                 met = np.count_nonzero(union[np.minimum(np.searchsorted(union, tokens), len(union) - 1)] == tokens)
                 if den * met < num * len(tokens):
                     continue
                 same = tokens[np.minimum(np.searchsorted(tokens, joined), len(tokens) - 1)] == joined
                 shared = np.add.reduceat(same.astype(np.int64), starts)
-                found = np.flatnonzero(den * shared >= num * (len(tokens) + sizes - shared))
-                if len(found):
+                found = np.flatnonzero((den * shared >= num * (len(tokens) + sizes - shared)) & (parts < part))
+                for i in found[np.unique(parts[found], return_index=True)[1]]:
                     a.append(doc)
-                    b.append(ids[found[0]])
+                    b.append(ids[i][0])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _links(texts: DataFrame, k: int, num: int, den: int, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Open each block ``(gid, block)`` of ``members`` by the documents of ``queries``.
+    """Open each block ``(gid, block)`` of ``members`` by the documents of ``queries``, both with their ``part``.
 
     A block with many queries is worked on in several places, each with all its members.
     """
     many = queries.groupBy("gid", "block").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
-    queries = cut(queries.join(many, ["gid", "block"]).select("gid", "block", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id"))
-    members = members.join(many, ["gid", "block"]).select("gid", "block", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "doc_id")
+    queries = cut(queries.join(many, ["gid", "block"]).select("gid", "block", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "part"))
+    members = members.join(many, ["gid", "block"]).select("gid", "block", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "doc_id", "part")
     rows = cut(queries.unionByName(members))
     needed = rows.select("doc_id").distinct()
     if needed.count() <= BROADCAST:
         needed = F.broadcast(needed)
     sets = texts.join(needed, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary")
-    rows = rows.join(sets, "doc_id").select("gid", "block", "salt", "kind", "doc_id", "tokens")
+    rows = rows.join(sets, "doc_id").select("gid", "block", "salt", "kind", "doc_id", "part", "tokens")
     rows = rows.repartition("gid", "block", "salt").sortWithinPartitions("gid", "block", "salt", "kind")
     return rows.mapInArrow(_opened(num, den), "a long, b long")
 
@@ -173,32 +176,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     leaders = buckets.groupBy("i", "m").agg(F.min("doc_id").alias("l0"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("l1"), F.count("*").alias("c")).filter("c > 1")
     pairs = buckets.join(leaders, ["i", "m"]).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("l0").alias("gid")), F.struct(F.lit(1).alias("round"), F.col("l1.doc_id").alias("gid")))).alias("l")).select("doc_id", "l.*").filter("gid <> doc_id")
     best = pairs.groupBy("doc_id", "round", "gid").count().filter(f"count >= {AGREE}").groupBy("doc_id", "round").agg(F.max_by("gid", F.struct("count", -F.col("gid"))).alias("gid"))
-    queries = cut(best.select("gid", F.lit(0).cast("long").alias("block"), "doc_id").distinct())
-    members = queries.select("gid", "block").distinct().withColumn("doc_id", F.col("gid"))
+    best = cut(best.select("doc_id", "gid").distinct())
+    queries = best.select("gid", F.lit(0).cast("long").alias("block"), "doc_id", F.lit(1).cast("long").alias("part"))
+    members = best.select("gid", F.lit(0).cast("long").alias("block")).distinct().select("gid", "block", F.col("gid").alias("doc_id"), F.lit(0).cast("long").alias("part"))
     links = cut(_links(texts, k, num, den, members, queries))
-    group = components(links)
+    part = components(links).select(F.col("v").alias("doc_id"), F.col("component").alias("part"))
+    group = components(best.select(F.col("doc_id").alias("a"), F.col("gid").alias("b"))).select(F.col("v").alias("doc_id"), F.col("component").alias("gid"))
 
     # 2. the matrix
-    groups = classes.select("doc_id", "n").join(group, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("gid"))
+    groups = classes.select("doc_id", "n").join(group, "doc_id", "left").join(part, "doc_id", "left").select("doc_id", "n", F.coalesce("gid", "doc_id").alias("gid"), F.coalesce("part", "doc_id").alias("part"))
     blocks = groups.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    groups = cut(groups.join(blocks, "gid").select("doc_id", "n", "gid", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))
+    groups = cut(groups.join(blocks, "gid").select("doc_id", "n", "gid", "part", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))
     prefixes = texts.mapInArrow(_prefixes(k, num, den, tokens[order], counts[order]), "doc_id long, tokens array<long>")
-    rows = prefixes.join(groups, "doc_id").select("doc_id", "n", "gid", "block", F.explode("tokens").alias("token"))
-    met = rows.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high").select("token")
-    rows = cut(rows.join(met, "token", "left_semi").select("token", "doc_id", "n", "gid", "block"))
-    matrix = rows.groupBy("token", F.col("gid").alias("g"), F.col("block").alias("gb")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = prefixes.join(groups, "doc_id").select("doc_id", "n", "gid", "block", "part", F.explode("tokens").alias("token"))
+    met = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
+    rows = cut(rows.join(met, "token", "left_semi").select("token", "doc_id", "n", "gid", "block", "part"))
+    matrix = rows.groupBy("token", F.col("gid").alias("g"), F.col("block").alias("gb")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("low"))
 
     # 3. blocks that a document may open
     need = lambda s: f"ceil({num} * (n + {s}) / {num + den}) - ceil({num} * greatest(n, {s}) / {den}) + 1"
     opens = (
-        rows.join(matrix, "token").filter("gid > g")
-        .groupBy("doc_id", "n", "g", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
+        rows.join(matrix, "token").filter(f"low < part and {den} * most >= {num} * n and {num} * least <= {den} * n")
+        .groupBy("doc_id", "n", "part", "g", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
         .withColumn("least", F.greatest("least", F.expr(f"ceil({num} * n / {den})"))).withColumn("most", F.least("most", F.expr(f"floor({den} * n / {num})")))
         .filter(f"least <= most and met >= least({need('least')}, {need('most')})")
-        .select(F.col("g").alias("gid"), F.col("gb").alias("block"), "doc_id").distinct()
+        .select(F.col("g").alias("gid"), F.col("gb").alias("block"), "doc_id", "part")
     )
     opens = cut(opens)
-    members = groups.join(opens.select("gid", "block").distinct(), ["gid", "block"], "left_semi").select("gid", "block", "doc_id")
+    members = groups.join(opens.select("gid", "block").distinct(), ["gid", "block"], "left_semi").select("gid", "block", "doc_id", "part")
     component = components(links.unionByName(_links(texts, k, num, den, members, opens)))
 
     named = classes.select("k1", "k2", F.col("doc_id").alias("v")).join(component, "v", "left").select("k1", "k2", F.coalesce("component", "v").alias("component"))

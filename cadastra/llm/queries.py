@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import table
+from cadastra.llm.decontamination import contaminated
 from cadastra.llm.fingerprints import edited_fingerprints
+from cadastra.llm.language_id import fit, predict
+from cadastra.llm.line_dedup import drop_recurring_lines
 from cadastra.llm.ngram_jaccard import near_duplicates
 from cadastra.llm.packing import pack
 from cadastra.llm.pii import KINDS, find_pii, listed
@@ -16,6 +19,14 @@ from cadastra.llm.substring_dedup import remove_repeats
 from cadastra.llm.url_filter import filter_urls
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs.filter(~held_out))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -26,6 +37,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that lie in documents, also with other numbers or names."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     found = find_pii(table(spark, sf_dir, "documents"))
@@ -43,6 +59,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when recurring line templates are dropped."""
+    left = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left when every repeated window of 20 words is removed."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -56,10 +78,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
