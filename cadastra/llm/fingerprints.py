@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.textkit import Words, chunks, mix
+from cadastra.session import ship
 
 SAMPLES, BITS, SHINGLE = 64, 18, 5
 FEATURES = 1 << BITS
@@ -99,6 +100,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` of every row."""
+    ship(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fingerprint string")
 
 
@@ -138,7 +140,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     document of the range below it (the lowest range: the very first), so that no row is far from its
     next one. Order: descending doc_id, nulls last, rows of one doc_id by the hash of their text.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = sorted(set(texts.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadastra.session import ship
+
 EXAMPLES, LANGUAGES = 4_000, 200
 WORDS, GRAMS, LONGEST = 20_000, 5_000, 5
 WORDS_FOR = 20
@@ -71,6 +73,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> Model:
     """Learn from ``doc_id, text, lang`` of rows whose lang isn't null."""
+    ship(labelled.sparkSession)
     labelled = labelled.filter("lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
@@ -143,7 +146,7 @@ def _judged(model: object, at: int) -> Callable:
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the language and score of each text in two more columns, named ``names``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + LONGEST * GRAMS rows
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)  # at most WORDS + LONGEST * GRAMS rows
     numbered = docs.toDF(*map(str, range(len(docs.columns))))
     fields = [*numbered.schema.fields, T.StructField(str(len(docs.columns)), T.StringType()), T.StructField(str(len(docs.columns) + 1), T.DoubleType())]
     return numbered.mapInArrow(_judged(shared, docs.columns.index("text")), T.StructType(fields)).toDF(*docs.columns, *names)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import cut
+from cadastra.session import ship
 
 LEADING, SHORTEST, DOCUMENTS, SIMILAR = 3, 3, 10, 0.6
 CELLS, BROADCAST = 500_000, 500_000
@@ -74,6 +75,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and ``n_lines``, ``n_dropped`` added."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     lines = _lines(texts)
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").count().filter(F.col("count") >= DOCUMENTS).select("leaf")
@@ -88,9 +90,9 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     some = some.join(wanted, ["doc_id", "th"]).select(F.split("text", "\n").alias("ls"), F.explode("e").alias("e"))
     some = some.select("e.leaf", F.col("e.mh").alias("id"), F.expr("pmod(e.mh, e.parts)").alias("part"), "e.parts", masked(F.get("ls", F.col("e.pos"))).alias("line"))
     shape = "leaf long, id long, tid long, line string"
-    near = cut(some.groupBy("leaf", "part").applyInPandas(lambda pdf: templates(pdf), shape))
+    near = cut(some.groupBy("leaf", "part").applyInPandas(templates, shape))
     split = sizes.filter("parts > 1").select("leaf")
-    again = near.join(split, "leaf", "left_semi").select("leaf", F.col("tid").alias("id"), "line").distinct().groupBy("leaf").applyInPandas(lambda pdf: templates(pdf), shape)
+    again = near.join(split, "leaf", "left_semi").select("leaf", F.col("tid").alias("id"), "line").distinct().groupBy("leaf").applyInPandas(templates, shape)
     whole = near.join(again.select("leaf", F.col("id").alias("tid"), F.col("tid").alias("up")), ["leaf", "tid"], "left")
     template = whole.select("leaf", F.col("id").alias("mh"), F.coalesce("up", "tid").alias("tid"))
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.common import components, cut
 from cadastra.llm.textkit import Words, chunks, mix
+from cadastra.session import ship
 
 HASHES = 8
 #: Minimum hashes that a document and its leader must share.
@@ -163,6 +164,7 @@ def _links(texts: DataFrame, k: int, num: int, den: int, members: DataFrame, que
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: den * intersection >= num * union links."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(texts.mapInArrow(_signatures(k), _SIGNED))
     late = signed.filter("mins is null").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT).collect()

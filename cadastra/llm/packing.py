@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cadastra.session import ship
+
 CAPACITY = 4096
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
@@ -186,4 +188,5 @@ def _packed(path: str, end_id: int, capacity: int) -> Callable:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document with their place: ``PIECES``; ``tokenizer`` is the path of its file."""
+    ship(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_packed(tokenizer, end_id, capacity), PIECES)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.common import cut
 from cadastra.llm.textkit import Words, chunks, mix, powers
+from cadastra.session import ship
 
 WINDOW, M = 20, 6
 STRINGS = 5_000
@@ -140,6 +141,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each text without the words of repeated windows."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runs = texts.filter("doc_id is not null").mapInArrow(_super_kmers, "minimiser long, content long, doc_id long, start int, n int")
     # four bytes of the minimiser are enough to set aside nearly all that stand alone

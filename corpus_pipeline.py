@@ -8,10 +8,27 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadastra.llm.common import shared_folder, table
+from cadastra.llm.decontamination import without_benchmark
+from cadastra.llm.language_id import confident
+from cadastra.llm.line_dedup import drop_recurring_lines
 from cadastra.llm.ngram_jaccard import one_of_each
+from cadastra.llm.packing import pack
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; one without a letter goes."""
+    return confident(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines of recurring templates, and their n_chars; every document stays."""
+    left = drop_recurring_lines(docs).select(docs.columns)
+    return left.withColumn("n_chars", F.char_length("text").cast(left.schema["n_chars"].dataType))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +36,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("language", language),
+    ("lines", lines),
     ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 #: SQL can't express the trained language model, the template tree and the packing.
