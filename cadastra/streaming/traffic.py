@@ -12,8 +12,13 @@ DELAY = "1 hour"
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files as they arrive, with a time that can carry a watermark."""
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(path)
+    table = spark.read.parquet(path)
+    folder, _, name = path.rpartition("/")
+    stream = spark.readStream.schema(table.schema)
+    if [f.rpartition("/")[2] for f in table.inputFiles()] == [name]:  # one file: the stream reads its folder
+        rows = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = stream.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
