@@ -144,7 +144,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = sorted(set(texts.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    ranged = Bucketizer(splits=[-float("inf"), *found, float("inf")], inputCol="key", outputCol="bucket").transform(texts)
+    cut = Bucketizer(splits=[-float("inf"), *found, float("inf")], inputCol="key", outputCol="bucket").transform if found else lambda df: df.withColumn("bucket", F.lit(0.0))
+    ranged = cut(texts)
     tops = ranged.groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()  # a row a partition
     above = [(tops[i - 1]["key"], r["bucket"]) for i, r in enumerate(tops)]
     above = spark.createDataFrame(above, "key double, tail_of double")
