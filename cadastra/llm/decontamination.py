@@ -42,14 +42,14 @@ def template(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(text, " "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def windows(df: DataFrame, *keep: str) -> DataFrame:
     """``keep``, position and hash of each template window of ``text``."""
-    df = df.select(*keep, words(template(valued(F.col("text")))).alias("w")).filter(F.size("w") > 0)
+    df = df.select(*keep, words(template(valued(F.col("text")))).alias("w"))  # no filter on it: that would work it out twice
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))
-    return df.select(*keep, F.posexplode(hashes).alias("pos", "window"))
+    return df.select(*keep, F.posexplode(F.when(F.size("w") > 0, hashes)).alias("pos", "window"))
 
 
 def _small(df: DataFrame) -> DataFrame:
