@@ -30,16 +30,27 @@ CELLS, BROADCAST = 500_000, 500_000
 _ANY = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """A line's words, those with a digit made variable, parted by single blanks."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s++", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", _ANY)
+def _blanks(line: Column) -> Column:
+    return F.trim(F.when(line.rlike(r"[^\S\x20]|\x20\x20"), F.regexp_replace(line, r"\s++", " ")).otherwise(line))
+
+
+def _fields(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", _ANY)).otherwise(line)
+
+
+def masked(lines: Column) -> Column:
+    """Each line's words, those with a digit made variable, parted by single blanks.
+
+    In two steps, as the second names its line more than once.
+    """
+    return F.transform(F.transform(lines, _blanks), _fields)
 
 
 def _lines(texts: DataFrame) -> DataFrame:
     """Leaf and hash of every line that is long enough."""
-    lines = texts.filter("doc_id is not null").select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "th", "pos", masked(F.col("line")).alias("line"))
-    lines = lines.withColumn("n", F.char_length("line") - F.char_length(F.translate("line", " ", "")) + 1).filter(F.col("n") >= SHORTEST)
+    # masked inside the generator, so that the filter below doesn't work it out again
+    lines = texts.filter("doc_id is not null").select("doc_id", "th", F.posexplode(masked(F.split("text", "\n"))).alias("pos", "line"))
+    lines = lines.withColumn("n", F.size(F.split("line", " "))).filter(F.col("n") >= SHORTEST)
     return lines.select("doc_id", "th", "pos", "n", F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"), F.xxhash64("line").alias("mh"))
 
 
@@ -77,9 +88,9 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and ``n_lines``, ``n_dropped`` added."""
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    lines = _lines(texts)
+    lines = cut(_lines(texts))
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").count().filter(F.col("count") >= DOCUMENTS).select("leaf")
-    lines = cut(lines.join(leaves, "leaf", "left_semi").select("doc_id", "th", "pos", "n", "leaf", "mh"))
+    lines = lines.join(leaves, "leaf", "left_semi").select("doc_id", "th", "pos", "n", "leaf", "mh")
 
     # examples of the leaves that have several
     examples = lines.groupBy("leaf", "mh").agg(F.min(F.struct("doc_id", "th", "pos", "n")).alias("e"))
@@ -88,7 +99,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     wanted = examples.groupBy("doc_id", "th").agg(F.collect_list(F.struct("leaf", "mh", "parts", "pos")).alias("e"))
     some = texts.join(_small(examples.select("doc_id", "th").distinct()), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
     some = some.join(wanted, ["doc_id", "th"]).select(F.split("text", "\n").alias("ls"), F.explode("e").alias("e"))
-    some = some.select("e.leaf", F.col("e.mh").alias("id"), F.expr("pmod(e.mh, e.parts)").alias("part"), "e.parts", masked(F.get("ls", F.col("e.pos"))).alias("line"))
+    some = some.select("e.leaf", F.col("e.mh").alias("id"), F.expr("pmod(e.mh, e.parts)").alias("part"), "e.parts", masked(F.array(F.get("ls", F.col("e.pos"))))[0].alias("line"))
     shape = "leaf long, id long, tid long, line string"
     near = cut(some.groupBy("leaf", "part").applyInPandas(templates, shape))
     split = sizes.filter("parts > 1").select("leaf")
