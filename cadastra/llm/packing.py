@@ -22,18 +22,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cadastra.llm.textkit import Words, chunks
 from cadastra.session import ship
 
 CAPACITY = 4096
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_TAIL = ".,:;!?|"
+#: Punctuation that may follow a word as a run of its own; not what begins a suffix or a special token.
+_TAIL = ".,:;!?|#%&$*()[]{}/-+=~^@"
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
-    """Ids of a text, as little-endian 32-bit numbers; a dictionary of words and their ids.
+class Encoder:
+    """Ids of texts, as 32-bit numbers; a worker remembers the ids of words by their 64-bit hash.
 
     The tokenizer's pattern never matches across white space, so a text's ids are those of its words.
     """
@@ -43,6 +45,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[int, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def run(self, run: str) -> bytes:
@@ -50,30 +53,33 @@ class Encoder(dict):
         ids = self.runs.get(run)
         if ids is None:
             shown = run if run.isascii() else self.letters.pre_tokenize_str(run)[0][0]
-            ids = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.tokenizer.model.tokenize(shown)]) else b""
-            if len(self.runs) < REMEMBERED:
+            ids = np.array([x.id for x in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            if len(self.runs) < REMEMBERED // 2:
                 self.runs[run] = ids
         return ids
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         letters = word.rstrip(_TAIL)
-        if len(letters) < 200 and letters.isalpha() and "Σ" not in letters and unicodedata.is_normalized("NFC", low := letters.lower()) and low.isalpha() and unicodedata.is_normalized("NFC", letters):
-            ids = self.run(low) + (self.run(word[len(letters) :]) if len(letters) < len(word) else b"")
-        else:
-            ids = self.whole(word)
-        if len(self) < REMEMBERED and len(word) < 200:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        # str.split also splits on these four, which are no white space to the tokenizer
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if len(letters) < 200 and letters.isalpha() and "Σ" not in letters:
+            low = letters.lower()
+            if word.isascii() or (low.isalpha() and unicodedata.is_normalized("NFC", letters) and unicodedata.is_normalized("NFC", low)):
+                return self.run(low) + self.run(word[len(letters) :]) if len(letters) < len(word) else self.run(low)
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a chunk, one after the other, and where each text's begin."""
+        words, raw = Words(data, offsets, lower=False), data.tobytes()
+        hashes, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        ids = [self.words.get(h) for h in hashes.tolist()]
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self.word(raw[words.start[first[i]] : words.end[first[i]]].decode())
+            if len(self.words) < REMEMBERED:
+                self.words[int(hashes[i])] = ids[i]
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        starts, each = np.cumsum(sizes) - sizes, sizes[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[at], ends[words.of]
 
 
 class Packer:
@@ -177,8 +183,11 @@ def _packed(path: str, end_id: int, capacity: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=names)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                packer.add(batch.column(0)[i].as_py(), encoder.encode(batch.column(1)[i].as_py() or "") + end)
+            docs = batch.column(0).to_pylist()
+            for at, last, data, offsets in chunks(batch.column(1)):
+                ids, of = encoder.encode(data, offsets)
+                for i in range(at, last):
+                    packer.add(docs[i], ids[of[i - at] : of[i - at + 1]].tobytes() + end)
             yield ready()
         packer.end()
         yield ready()
