@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import graph, joins, lifecycle, period, quality, spatial, stats
+from cadastra.operators import graph, joins, lifecycle, period, quality, spatial, stats, survey
 from cadastra.operators.period import Metric
 from cadastra.sources import files
 from cadastra.streaming.lifecycle import lifecycle_events
@@ -166,3 +166,13 @@ def test_features(spark: SparkSession, tmp_path) -> None:
     (tmp_path / "f.json").write_text('{"features":[{"properties":{"name":"a"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}]}')
     row = files.read_features(spark, str(tmp_path / "f.json"), "struct<name:string>").first()
     assert (row["name"], row["kind"], len(row["rings"][0])) == ("a", "Polygon", 4)
+
+
+def test_survey_helpers(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(1, "R$ 1.000,00", " "), (2, "a combinar", "x")], "id int, price string, name string")
+    new, log = survey.sanitised(df, "id", ["price"])
+    assert [r["price"] for r in new.orderBy("id").collect()] == ["1000.0", "a combinar"]
+    assert [tuple(r) for r in log.collect()] == [(1, "price", "R$ 1.000,00", "1000.0")]
+    assert survey.drift(df, ["id", "area"]) == {"missing": ["area"], "unknown": ["price", "name"]}
+    assert survey.refresh_allowed({"a": (df, ["id", "area"]), "b": (df.limit(0), ["id"])}) == ["a: column area is missing", "b: no rows"]
+    assert [r["name"] for r in survey.resolve_aliases(df, {"name": ["price"]}).orderBy("id").collect()] == ["R$ 1.000,00", "x"]
