@@ -2,15 +2,17 @@
 
 A line's words with digits are variable fields. The tree has a fixed depth: a line goes to a leaf by
 its number of words and its ``LEADING`` first words. In a leaf, lines whose words agree at ``SIMILAR``
-of the places or more share a template, in which the places that differ are variable. A template that
-occurs in ``DOCUMENTS`` or more different texts is recurring: its first line (smallest doc_id, then
-position) stays and every other one is dropped.
+of the places or more share a template, in which the places that differ are variable. A template is
+recurring if it occurs in enough different texts: ``OF_LONG`` if it has ``LONG`` constant words or
+more, ``OF_WORDS`` if it has ``SHORTEST`` or more, else ``DOCUMENTS``, and ``OF_SHORT`` for lines of
+fewer than ``SHORTEST`` words. Its first line (smallest doc_id, then position) stays and every other
+one is dropped.
 
 Leaves seen in fewer texts can't hold a recurring template and are left out after one count. Equal
 lines are one example, and only leaves of several examples are compared word by word; a leaf with
 many is compared in parts, and then their templates, so no task holds more than about ``CELLS`` words.
 
-Rows: a null text has no lines and stays null. Lines of fewer than ``SHORTEST`` words always stay.
+Rows: a null text has no lines and stays null. Lines without a word always stay.
 Texts that are equal count once, so a text with many copies isn't recurring by itself. Rows of one
 doc_id and equal text are treated alike; rows without a doc_id stay as they are. Extra columns stay.
 """
@@ -26,6 +28,8 @@ from cadastra.llm.common import cut
 from cadastra.session import ship
 
 LEADING, SHORTEST, DOCUMENTS, SIMILAR = 3, 3, 10, 0.6
+#: Different texts that make a line recur: of ``LONG`` constant words, of ``SHORTEST``, and a line of fewer words.
+LONG, OF_LONG, OF_WORDS, OF_SHORT = 20, 2, 3, 100
 CELLS, BROADCAST = 500_000, 500_000
 _ANY = "<*>"
 
@@ -46,12 +50,22 @@ def masked(lines: Column) -> Column:
     return F.transform(F.transform(lines, _blanks), _fields)
 
 
+def _enough(n: Column, constant: Column) -> Column:
+    """Different texts that a template of ``n`` words must occur in."""
+    return F.when(n < SHORTEST, OF_SHORT).when(constant >= LONG, OF_LONG).when(constant >= SHORTEST, OF_WORDS).otherwise(DOCUMENTS)
+
+
+def _constant(line: Column) -> Column:
+    """Number of a template's constant words."""
+    return F.size(F.array_remove(F.split(line, " "), _ANY))
+
+
 def _lines(texts: DataFrame) -> DataFrame:
-    """Leaf and hash of every line that is long enough."""
+    """Leaf and hash of every line that has a word."""
     # masked inside the generator, so that the filter below doesn't work it out again
     lines = texts.filter("doc_id is not null").select("doc_id", "th", F.posexplode(masked(F.split("text", "\n"))).alias("pos", "line"))
-    lines = lines.withColumn("n", F.size(F.split("line", " "))).filter(F.col("n") >= SHORTEST)
-    return lines.select("doc_id", "th", "pos", "n", F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"), F.xxhash64("line").alias("mh"))
+    lines = lines.filter("line <> ''").withColumn("n", F.size(F.split("line", " ")))
+    return lines.select("doc_id", "th", "pos", "n", _constant(F.col("line")).alias("constant"), F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"), F.xxhash64("line").alias("mh"))
 
 
 def templates(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,8 +103,9 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     lines = cut(_lines(texts))
-    leaves = lines.select("leaf", "th").distinct().groupBy("leaf").count().filter(F.col("count") >= DOCUMENTS).select("leaf")
-    lines = lines.join(leaves, "leaf", "left_semi").select("doc_id", "th", "pos", "n", "leaf", "mh")
+    # no template of a leaf has more constant words than the leaf's lines have words
+    leaves = lines.select("leaf", "n", "th").distinct().groupBy("leaf", "n").count().filter(F.col("count") >= _enough(F.col("n"), F.col("n"))).select("leaf")
+    lines = lines.join(leaves, "leaf", "left_semi").select("doc_id", "th", "pos", "n", "constant", "leaf", "mh")
 
     # examples of the leaves that have several
     examples = lines.groupBy("leaf", "mh").agg(F.min(F.struct("doc_id", "th", "pos", "n")).alias("e"))
@@ -104,12 +119,12 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     near = cut(some.groupBy("leaf", "part").applyInPandas(templates, shape))
     split = sizes.filter("parts > 1").select("leaf")
     again = near.join(split, "leaf", "left_semi").select("leaf", F.col("tid").alias("id"), "line").distinct().groupBy("leaf").applyInPandas(templates, shape)
-    whole = near.join(again.select("leaf", F.col("id").alias("tid"), F.col("tid").alias("up")), ["leaf", "tid"], "left")
-    template = whole.select("leaf", F.col("id").alias("mh"), F.coalesce("up", "tid").alias("tid"))
+    whole = near.join(again.select("leaf", F.col("id").alias("tid"), F.col("tid").alias("up"), F.col("line").alias("merged")), ["leaf", "tid"], "left")
+    template = whole.select("leaf", F.col("id").alias("mh"), F.coalesce("up", "tid").alias("tid"), _constant(F.coalesce("merged", "line")).alias("left"))
 
     # recurring templates, and the lines to drop
-    lines = lines.join(template, ["leaf", "mh"], "left").withColumn("tid", F.coalesce("tid", "mh"))
-    recurring = lines.groupBy("leaf", "tid", "th").agg(F.min(F.struct("doc_id", "pos")).alias("f")).groupBy("leaf", "tid").agg(F.count("*").alias("texts"), F.min("f").alias("f")).filter(F.col("texts") >= DOCUMENTS)
+    lines = lines.join(template, ["leaf", "mh"], "left").withColumn("tid", F.coalesce("tid", "mh")).withColumn("enough", _enough(F.col("n"), F.coalesce("left", "constant")))
+    recurring = lines.groupBy("leaf", "tid", "enough", "th").agg(F.min(F.struct("doc_id", "pos")).alias("f")).groupBy("leaf", "tid", "enough").agg(F.count("*").alias("texts"), F.min("f").alias("f")).filter("texts >= enough").drop("enough")
     gone = lines.join(recurring, ["leaf", "tid"]).filter("doc_id <> f.doc_id or pos <> f.pos").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
 
     keys = docs.columns

@@ -211,6 +211,15 @@ def test_copies_alone_do_not_recur(spark: SparkSession) -> None:
     assert line_dedup.drop_recurring_lines(frame).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_few_texts_make_a_line_recur(spark: SparkSession) -> None:
+    long, eight, short = (" ".join(f"{w}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(n)) for w, n in (("word", 50), ("other", 50), ("brief", 6)))
+    own = lambda i: f"text {'abcdefghij'[i % 10]}{'abcdefghijklmn'[i // 10]} alone"
+    rows = [(i, "\n".join([own(i), *[long] * (i < 2), *[eight] * (i < 8), *[short] * (i < 3), *["two texts hold this"] * (i < 2), "", "Read more", *["See also"] * (i < 99)])) for i in range(120)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [sum(line in got[i] for i in got) for line in (long, eight, short, "two texts hold this", "", "Read more", "See also")] == [1, 1, 1, 2, 120, 1, 99]
+    assert got[0][1:] == rows[0][1].split("\n")[1:]
+
+
 def test_reparameterised_items_are_found(spark: SparkSession) -> None:
     items = spark.createDataFrame([(1, "If the train of Ana goes 60 km in 2 hours and Ana waits 60 minutes, how far is it from Ana to Lima?"), (2, None), (3, "short one")], "item_id long, text string")
     rows = [
