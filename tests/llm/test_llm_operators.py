@@ -237,6 +237,18 @@ def test_reparameterised_items_are_found(spark: SparkSession) -> None:
     assert decontamination.contaminated(frame, items.limit(0)).count() == 0
 
 
+def test_short_items_and_other_case_are_found(spark: SparkSession) -> None:
+    long = "the keeper Ana counts every boat in the harbour at noon, then Ana writes a note and leaves"
+    items = spark.createDataFrame([(1, "What is the capital of Peru today?"), (2, long), (3, "42")], "item_id long, text string")
+    noise = "words that come before it and are not of any item here"
+    rows = [
+        (1, f"{noise}. What is the capital of Peru today? {noise}"), (2, f"{noise} {long.lower()} {noise}"), (3, f"{noise} {long.replace(' Ana', chr(10) + 'Ana')} {noise}"),
+        (4, f"{noise} {long.replace(' ', chr(0xA0))} {noise}"), (5, f"{noise} 41 {noise}"), (6, f"{noise} what is the capital"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["share"], r["same_values"]) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1): (1.0, True), (2, 2): (1.0, True), (3, 2): (1.0, True), (4, 2): (1.0, True)}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
