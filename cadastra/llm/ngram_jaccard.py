@@ -162,6 +162,16 @@ def _links(texts: DataFrame, k: int, num: int, den: int, members: DataFrame, que
     return rows.mapInArrow(_opened(num, den), "a long, b long")
 
 
+def demanded(num: int, den: int) -> str:
+    """Prefix tokens that ``n`` shingles share at least with a linked set of ``least`` to ``most``, as SQL.
+
+    Without its two ceilings the count is least at one of the ends; with them sizes in between can
+    need one less.
+    """
+    need = lambda s: f"ceil({num} * (n + {s}) / {num + den}) - ceil({num} * greatest(n, {s}) / {den}) + 1"
+    return f"least({need('least')}, {need('most')}) - if(most - least > 1, 1, 0)"
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: den * intersection >= num * union links."""
     ship(docs.sparkSession)
@@ -196,12 +206,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     matrix = rows.groupBy("token", F.col("gid").alias("g"), F.col("block").alias("gb")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("low"))
 
     # 3. blocks that a document may open
-    need = lambda s: f"ceil({num} * (n + {s}) / {num + den}) - ceil({num} * greatest(n, {s}) / {den}) + 1"
     opens = (
         rows.join(matrix, "token").filter(f"low < part and {den} * most >= {num} * n and {num} * least <= {den} * n")
         .groupBy("doc_id", "n", "part", "g", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
         .withColumn("least", F.greatest("least", F.expr(f"ceil({num} * n / {den})"))).withColumn("most", F.least("most", F.expr(f"floor({den} * n / {num})")))
-        .filter(f"least <= most and met >= least({need('least')}, {need('most')})")
+        .filter(f"least <= most and met >= {demanded(num, den)}")
         .select(F.col("g").alias("gid"), F.col("gb").alias("block"), "doc_id", "part")
     )
     opens = cut(opens)

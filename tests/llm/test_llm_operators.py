@@ -79,6 +79,15 @@ def test_components_by_all_pairs(docs: DataFrame, k: int, num: int) -> None:
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize(("num", "sizes"), [(85, (18, 17, 20)), (80, None)])
+def test_demanded_tokens_never_exceed_need(spark: SparkSession, num: int, sizes: tuple | None) -> None:
+    ranges = [sizes] if sizes else [(n, a, b) for n in range(1, 41) for a in range(-(-num * n // 100), n + 1) for b in range(a, 100 * n // num + 1)]
+    need = lambda n, s: -(-num * (n + s) // (num + 100)) + (-num * max(n, s) // 100) + 1
+    got = spark.createDataFrame(ranges, "n long, least long, most long").selectExpr("n", "least", "most", f"{ngram_jaccard.demanded(num, 100)} AS demanded").collect()
+    assert all(r["demanded"] <= min(need(r["n"], s) for s in range(r["least"], r["most"] + 1)) for r in got)
+    assert sizes is None or min(need(18, s) for s in (17, 20)) == 2 and need(18, 19) == 1
+
+
 def test_one_of_each_keeps_columns_and_empties(docs: DataFrame, empty: DataFrame) -> None:
     left = ngram_jaccard.one_of_each(docs)
     assert left.columns == docs.columns
