@@ -22,7 +22,7 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 8
     code = F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 500).otherwise(200)
-    text = F.concat_ws(" ", web.visible_text(F.substring("html", 1, 400)), F.when(k.isin(4, 5), "anuncio removido").when(k == 6, "captcha"))
+    text = F.concat_ws(" ", web.visible_text(F.col("html")), F.when(k.isin(4, 5), "anuncio removido").when(k == 6, "captcha"))
     final = F.when(k == 3, F.concat("url", F.lit("x"))).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", web.verdict(code, final, F.col("url"), text, k.isin(5, 7)).alias("verdict"))
 

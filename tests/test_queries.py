@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import SparkSession
@@ -29,3 +31,9 @@ def test_query_against_sql(spark: SparkSession, name: str) -> None:
 
 def test_every_query_has_a_name_once() -> None:
     assert len(load()) > 100
+
+
+def test_page_verdict_reads_the_whole_page(spark: SparkSession, tmp_path: Path) -> None:
+    html = f"<html><head><style>{'a' * 900}</style></head><body>{'<p>text</p>' * 90}<p>Anúncio removido</p></body></html>"
+    spark.createDataFrame([(7, "https://a.b/c", html), (15, "https://a.b/d", html.replace("removido", "novo"))], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r["page_id"]: r["verdict"] for r in load()["page_verdict"].run(spark, str(tmp_path)).collect()} == {7: "error", 15: "ok"}
