@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot if it holds more than this share of the rows, so there are at most 1 / HOT hot keys.
+HOT, HOT_LEAST = 1 / 10_000, 200
+#: Places that a hot key's rows are dealt to.
+SALTS = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -14,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where a session has none (local tests) is one made."""
+    """The folder of spark.checkpoint.dir; only a local session that has none gets one of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -27,24 +38,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "count") -> DataFrame:
+    """Keys of ``counts`` (a row a key, ``n`` its rows) that hold more than the share HOT of all rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.filter(F.col(n) > max(HOT_LEAST, total * HOT)).select(*on)
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame, deal: Sequence[str], how: str = "inner") -> DataFrame:
+    """``many.join(one, on, how)`` where the rows of the ``hot`` keys are dealt to SALTS places.
+
+    ``hot`` has at most 1 / HOT keys (``hot_keys``), so it is broadcast; the rows of ``one`` with such a
+    key are repeated in each place. ``deal`` names the columns of ``many`` whose hash picks the place.
+    """
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    place = F.when(F.col("_hot"), F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int")).otherwise(0)
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(mark, list(on), "left").withColumn("_place", place).drop("_hot")
+    right = one.join(mark, list(on), "left").withColumn("_place", F.explode(places)).drop("_hot")
+    return left.join(right, [*on, "_place"], how).drop("_place")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def total_of(c: Column) -> Column:
+    """Sum of long numbers, wide enough for any number of them."""
+    return F.sum(c.cast("decimal(38,0)"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in ``links(a, b)``: columns ``v, component``.
 
-    Each round takes the smallest label among the neighbours and then follows the label's own
-    label; both joins are on ids with partial aggregation, so a hub is not gathered anywhere.
+    Each round takes the smallest label among the neighbours and then follows the label's own label,
+    until no label changes. A hub's links, and the members of a large component, which share a label,
+    are dealt to many places (``spread_join``); sums and minima are made partly before the shuffle.
     """
-    edges = cut(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    )
+    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    hubs = cut(hot_keys(edges.groupBy("b").count(), ["b"]))
     now = cut(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
     before = None
     while True:
-        total = now.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
+        total = now.agg(total_of(F.col("l"))).first()[0]
         if total is None or total == before:
             return now.withColumnRenamed("l", "component")
         before = total
-        low = edges.join(now, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
-        step = now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l"))
-        step = cut(step)
-        up = step.select(F.col("v").alias("u"), F.col("l").alias("up"))
-        now = cut(step.join(up, F.col("l") == F.col("u")).select("v", F.col("up").alias("l")))
+        low = spread_join(edges, now.withColumnRenamed("v", "b"), ["b"], hubs, ["a"]).groupBy("a").agg(F.min("l").alias("m"))
+        step = cut(now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l")))
+        shared = hot_keys(step.groupBy("l").count(), ["l"])
+        up = step.select(F.col("v").alias("l"), F.col("l").alias("up"))
+        now = cut(spread_join(step, up, ["l"], shared, ["v"]).select("v", F.col("up").alias("l")))

@@ -2,7 +2,8 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D; as these are ASCII, UTF-8 text can be cut
 on bytes. Hashes are 64 bits wide. Rows are worked on in chunks of about ``CHUNK`` bytes, so memory
-does not follow the batch; one text longer than that is a chunk of its own.
+does not follow the batch; one text longer than that is a chunk of its own, and takes some 80 bytes of
+memory a byte while it is worked on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -33,15 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, at least n + 1 of each."""
-    size = max(CHUNK * 2, n + 1)
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(
-            np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p, np.uint64)]), dtype=np.uint64)
-            for p in (_P, pow(_P, -1, 2**64))
-        )
-    return _powers[size]
+    """Powers of an odd number and of its inverse modulo 2**64, at least n + 1 of each.
+
+    A worker keeps those that a usual chunk needs (9 MB); more are made anew for a longer text.
+    """
+    if n <= CHUNK and CHUNK in _powers:
+        return _powers[CHUNK]
+    size = max(CHUNK, n)
+    made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, p, np.uint64)]), dtype=np.uint64) for p in (_P, pow(_P, -1, 2**64)))
+    if size == CHUNK:
+        _powers[CHUNK] = made
+    return made
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
