@@ -180,13 +180,44 @@ def test_fingerprints_estimate_weighted_jaccard(docs: DataFrame, empty: DataFram
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
-def test_weights_count() -> None:
-    same = []
-    for seed in range(30):
-        term = np.arange(4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x1234567891234567 % 2**64)
-        a, b = fingerprints._sample(term, np.array([1, 1, 1, 1])), fingerprints._sample(term, np.array([1, 1, 4, 1]))
-        same.append((a == b).mean())
-    assert abs(np.mean(same) - 4 / 7) < 0.05
+def likeness_of(a: dict[int, int], b: dict[int, int]) -> float:
+    terms, weights = (np.array([x for s in (a, b) for x in f(s)], t) for f, t in ((dict.keys, np.uint64), (dict.values, np.int64)))
+    x, y = fingerprints._samples(terms, weights, np.array([len(a), len(b)]))
+    return float((x == y).mean())
+
+
+@pytest.mark.parametrize(("n", "most"), [(40, 1), (40, 5), (20_000, 5)])
+def test_samples_agree_as_often_as_weighted_jaccard(n: int, most: int) -> None:
+    rng = np.random.default_rng(n + most)
+    got, want = [], []
+    for _ in range(24):
+        terms = rng.integers(0, 2**63, 2 * n).tolist()
+        a, b = ({t: int(w) for t, w in zip(part, rng.integers(1, most + 1, len(part)), strict=True)} for part in (terms[: n + n // 2], terms[n // 2 :]))
+        got.append(likeness_of(a, b))
+        want.append(sum(min(a.get(t, 0), b.get(t, 0)) for t in terms) / sum(max(a.get(t, 0), b.get(t, 0)) for t in terms))
+    assert abs(np.mean(got) - np.mean(want)) < 0.045
+
+
+def test_long_unrelated_texts_are_unlike() -> None:
+    rng = np.random.default_rng(8)
+    a, b = (dict.fromkeys(rng.integers(0, 2**63, 300_000).tolist(), 1) for _ in range(2))
+    assert likeness_of(a, b) == 0
+    assert likeness_of(a, a) == 1
+
+
+@pytest.mark.parametrize("step", [1, 2**60 // 40])
+def test_next_document_by_ranges(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, step: int) -> None:
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+    base = 0 if step == 1 else 2**60
+    rows = [(base + i * (1 if step == 1 else 3), f"text number {i} " * (i % 7 + 1)) for i in range(40)] + [(base + 7, "second of its id"), (None, None), (None, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in frame.select("text", F.xxhash64("text", F.col("doc_id").isNull()).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = Counter()
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        text, after = text or "", after or ""
+        want[i, len(text), hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.edited_fingerprints(frame).collect()) == want
 
 
 def test_language_with_held_out_texts(spark: SparkSession) -> None:
