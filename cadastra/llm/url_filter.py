@@ -6,9 +6,14 @@ verdict of its host: personalised PageRank flows along host links from hosts wit
 suspect. A host is blocked if its distrust exceeds both ``RATIO`` times its trust and ``DENSITY``
 times its share of the pages.
 
-Hosts, links and seeds are counted with partial aggregation; a round is one join on the host and one
-sum. A null url, or one without ``://``, has an empty host and path, and no rule fits it; the empty
-host has no rank and is allowed. Null html has no links. Repeated rows get a row each.
+Rounds go on until all that is still to flow is less than ``CHANGE`` of the whole; a round shrinks it to
+``DAMPING`` times the last at most, so there are about 100 at most. Hosts, links and seeds are
+counted with partial aggregation; a round is one join on the host and one sum. Links of a host that very
+many others link to, or that links to very many, are dealt out, and so are the pages of a large host.
+
+A null url, or one without ``://``, has an empty host and path, and no rule fits it; the empty host has
+no rank and is allowed. Null html has no links. Repeated rows get a row each, and each counts as a page;
+a null page_id is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import cut
+from cadastra.llm.common import cut, hot_keys, spread_join
 
 #: (verdict, host, path): fits the host and its subdomains where the url's path starts with the path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DAMPING, ROUNDS, CHANGE = 0.85, 20, 1e-6
+#: Rounds between two checkpoints.
+UNROLLED = 6
+DAMPING, CHANGE = 0.85, 1e-6
 RATIO, DENSITY = 1.0, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,7 +49,7 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def host_ranks(pages: DataFrame) -> DataFrame:
-    """``host, share, trust, distrust`` of every host of ``pages(host, verdict, html)``."""
+    """``host, n, share, trust, distrust`` of every host of ``pages(host, verdict, html)``; n is its pages."""
     links = (
         pages.filter("host <> ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:href|src)\s*=\s*["']?([a-z]*:?//[^\s"'>]*)"""), F.lit(1))).alias("url"))
         .select(F.col("host").alias("src"), host_and_path(F.when(F.col("url").startswith("//"), F.concat(F.lit(":"), F.col("url"))).otherwise(F.col("url")))[0].alias("dst"))
@@ -53,24 +60,35 @@ def host_ranks(pages: DataFrame) -> DataFrame:
     hosts = own.unionByName(links.select(F.col("dst").alias("host"), F.lit(0).alias("n"), F.lit(0).alias("a"), F.lit(0).alias("b"))).groupBy("host").agg(*(F.sum(c).alias(c) for c in "nab"))
     hosts = cut(hosts)
     n, a, b = (max(1, x or 0) for x in hosts.agg(F.sum("n"), F.sum("a"), F.sum("b")).first())
-    start = hosts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), (F.col("a") / a).alias("seed")), F.struct(F.lit("d").alias("kind"), (F.col("b") / b).alias("seed")))).alias("s")).select("host", "s.*")
-    start = cut(start.withColumn("rank", F.col("seed")))
-    flows = links.select(F.lit("t").alias("kind"), "src", "dst", "count").union(links.select(F.lit("d").alias("kind"), "dst", "src", "count"))
-    flows = flows.join(flows.groupBy("kind", "src").agg(F.sum("count").alias("out")), ["kind", "src"]).select("kind", "src", "dst", (F.col("count") / F.col("out")).alias("part"))
-    flows, ranks = cut(flows), start
-    for _ in range(ROUNDS if flows.limit(1).count() else 0):
-        moved = flows.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("moved"))
-        moved = cut(moved)
-        total = {r["kind"]: r["s"] for r in moved.groupBy("kind").agg(F.sum("moved").alias("s")).collect()}  # two rows
-        rest = F.when(F.col("kind") == "t", 1 - DAMPING * total.get("t", 0.0)).otherwise(1 - DAMPING * total.get("d", 0.0))
-        new = ranks.join(moved, ["kind", "host"], "left").select("host", "kind", "seed", F.col("rank").alias("old"), (DAMPING * F.coalesce("moved", F.lit(0.0)) + rest * F.col("seed")).alias("rank"))
-        new = cut(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.drop("old")
-        if change < CHANGE:
-            break
-    kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
-    return hosts.select("host", (F.col("n") / n).alias("share")).join(ranks.groupBy("host").agg(kind("t").alias("trust"), kind("d").alias("distrust")), "host")
+    seeds = F.explode(F.array(F.struct(F.lit("t").alias("kind"), (F.col("a") / a).alias("left")), F.struct(F.lit("d").alias("kind"), (F.col("b") / b).alias("left"))))
+    state = hosts.select("host", seeds.alias("s")).select("s.kind", "host", "s.left", F.lit(0.0).alias("rank"))
+    if links.limit(1).count():
+        state = _spread(cut(state), links)
+    state = state.select("kind", "host", (F.col("left") + F.col("rank")).alias("rank"))
+    sums = {r["kind"]: r["s"] or 1.0 for r in state.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}  # two rows
+    kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)) / (sums.get(k) or 1.0)
+    return hosts.select("host", "n", (F.col("n") / n).alias("share")).join(state.groupBy("host").agg(kind("t").alias("trust"), kind("d").alias("distrust")), "host")
+
+
+def _spread(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``kind, host, left, rank`` after what is ``left`` of each host has flowed on until hardly any is left.
+
+    In a round a host's ``left`` is added to its ``rank``, and DAMPING of it goes on as the ``left`` of those it
+    flows to; what hosts without links keep back would return to the seeds, which only scales the ranks.
+    """
+    flows = links.select(F.lit("t").alias("kind"), F.col("src").alias("host"), "dst", "count").union(links.select(F.lit("d").alias("kind"), "dst", "src", "count"))
+    sums = cut(flows.groupBy("kind", "host").agg(F.sum("count").alias("out"), F.count("*").alias("rows")))
+    hubs = cut(hot_keys(sums, ["kind", "host"], "rows"))
+    flows = spread_join(flows, sums.drop("rows"), ["kind", "host"], hubs, ["dst"]).select("kind", "host", "dst", (DAMPING * F.col("count") / F.col("out")).alias("part"), F.lit(0.0).alias("stays"))
+    flows = cut(flows.union(state.select("kind", "host", F.col("host").alias("dst"), F.lit(0.0), F.lit(1.0))))
+    while True:
+        for _ in range(UNROLLED):
+            moved = spread_join(flows, state, ["kind", "host"], hubs, ["dst"])
+            state = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("left") * F.col("part")).alias("left"), F.sum((F.col("rank") + F.col("left")) * F.col("stays")).alias("rank"))
+        state = cut(state)
+        most = state.groupBy("kind").agg(F.sum("left").alias("s")).agg(F.max("s")).first()[0] or 0.0
+        if most * DAMPING / (1 - DAMPING) < CHANGE:
+            return state
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -78,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", "html", host.alias("host"), path.alias("path")).withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     judged = judged.select("page_id", "host", "path", "r.rule", "r.verdict", "html")
-    ranks = host_ranks(judged)
+    ranks = cut(host_ranks(judged))
     blocked = (F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > DENSITY * F.col("share"))
-    out = judged.drop("html").join(ranks, "host", "left")
+    out = spread_join(judged.drop("html"), ranks.drop("n"), ["host"], hot_keys(ranks, ["host"], "n"), ["page_id", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
