@@ -4,14 +4,18 @@ Every task packs its own partition of documents, one after the other. ``counts[h
 open windows filled to level h; a document (or what is left of a long one after whole windows are cut
 off) goes to the level that makes the sum of squared counts smallest, among equals to the fullest.
 When the input ends, the emptiest open windows are cut to fill the others, and the last one is cut at
-powers of two, so that a task ends without padding. A task holds the ids of its open windows only.
+powers of two, so that a task ends without padding. A task holds the ids of its open windows only; when
+these exceed ``HELD`` ids (texts of just over half a window leave every window open), the emptiest are
+cut to fill the others in the same way, which bounds the memory and costs no padding.
 
-Rows: a null text is empty, and an empty text is its end id alone. Rows are packed as they come, so
-repeated ones are packed again; a null doc_id is kept. Other columns are ignored.
+Rows: a null text is empty, and an empty text is its end id alone; a long text takes whole windows of
+its own first. Rows are packed as they come, so repeated ones are packed again; among levels of equal
+cost the fullest is taken; a null doc_id is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import zlib
@@ -27,7 +31,12 @@ from cadastra.session import ship
 
 CAPACITY = 4096
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 150_000
+#: Ids that a task's open windows may hold.
+HELD = 4 << 20
+#: The normalizers and pattern of tokenizer files whose texts are encoded word by word.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Punctuation that may follow a word as a run of its own; not what begins a suffix or a special token.
 _TAIL = ".,:;!?|#%&$*()[]{}/-+=~^@"
@@ -37,7 +46,9 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of texts, as 32-bit numbers; a worker remembers the ids of words by their 64-bit hash.
 
-    The tokenizer's pattern never matches across white space, so a text's ids are those of its words.
+    Where the file's pattern is ``PATTERN``, which never matches across white space, a text's ids are
+    those of its words; with any other file each text is encoded whole. A repeated word has the same
+    ids; a long one is encoded like any other.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,6 +58,11 @@ class Encoder:
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[int, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        file = json.loads(self.tokenizer.to_str())
+        steps = (file["normalizer"] or {}).get("normalizers") or []
+        splits = (file["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        odd = any(not t["content"].startswith("<") or any(map(str.isspace, t["content"])) for t in file["added_tokens"])
+        self.by_word = [s["type"] for s in steps] == NORMALIZERS and len(splits) == 2 and splits[0].get("pattern") == {"Regex": PATTERN} and splits[0].get("invert") is True and not splits[1].get("add_prefix_space") and not splits[1].get("use_regex") and not odd
 
     def run(self, run: str) -> bytes:
         """Ids of lower-case letters or of punctuation alone."""
@@ -59,6 +75,7 @@ class Encoder:
         return ids
 
     def word(self, word: str) -> bytes:
+        """Ids of one word, together from those of its letters and of the punctuation after them if it has no other parts."""
         letters = word.rstrip(_TAIL)
         if len(letters) < 200 and letters.isalpha() and "Σ" not in letters:
             low = letters.lower()
@@ -68,6 +85,10 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a chunk, one after the other, and where each text's begin."""
+        if not self.by_word:
+            raw = data.tobytes()
+            ids = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.array([x for own in ids for x in own], "<u4"), np.cumsum([0, *map(len, ids)])
         words, raw = Words(data, offsets, lower=False), data.tobytes()
         hashes, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
         ids = [self.words.get(h) for h in hashes.tolist()]
@@ -90,6 +111,7 @@ class Packer:
         self.counts = np.zeros(capacity + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
         self.rows: list[tuple] = []
+        self.held = 0
 
     def close(self, window: list[tuple]) -> None:
         offset = 0
@@ -106,6 +128,8 @@ class Packer:
             at += whole
         if at < len(ids):
             self.place((doc, at // 4, ids[at:], total))
+            if self.held > HELD:
+                self.fill()
 
     def place(self, piece: tuple) -> None:
         counts, size = self.counts, len(piece[2]) // 4
@@ -124,12 +148,17 @@ class Packer:
         window.append(piece)
         if level + size == self.capacity:
             self.close(window)
+            self.held -= level
         else:
-            counts[level + size] += 1
-            self.open.setdefault(level + size, []).append(window)
+            self.put(level + size, window)
+            self.held += size
 
-    def end(self) -> None:
-        """Fill the fullest open windows from the emptiest; cut the last at powers of two."""
+    def put(self, level: int, window: list[tuple]) -> None:
+        self.counts[level] += 1
+        self.open.setdefault(level, []).append(window)
+
+    def fill(self) -> None:
+        """Fill the fullest open windows from the emptiest; one window at most stays open."""
         left = [(level, window) for level in sorted(self.open, reverse=True) for window in self.open[level]]
         i, j = 0, len(left) - 1
         while i < j:
@@ -150,8 +179,16 @@ class Packer:
                 break
             self.close(window)
             i += 1
+        self.counts[:] = 0
+        self.open, self.held = {}, 0
         if i == j:
-            level, pieces = left[i]
+            self.put(*left[i])
+            self.held = left[i][0]
+
+    def end(self) -> None:
+        """Fill what is open; cut the last window at powers of two."""
+        self.fill()
+        for level, (pieces,) in self.open.items():
             pieces = pieces[::-1]
             while level:
                 size = 1 << (level.bit_length() - 1)
@@ -169,6 +206,8 @@ class Packer:
 
 
 def _packed(path: str, end_id: int, capacity: int) -> Callable:
+    """Packs a partition's rows as they come; a null text is empty, repeated ones are packed again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 7
         names = [c.split()[0] for c in PIECES.split(", ")]
