@@ -5,8 +5,10 @@ so windows of equal words have equal minimisers; consecutive windows that share
 super-k-mer, and only these travel:
 
 1. minimisers are counted; one that stands alone has no repeated window;
-2. super-k-mers of a repeated minimiser are grouped by their content (partial aggregation first, so
-   that a text with very many copies is not gathered). All but the first of equal ones are repeats;
+2. super-k-mers of a repeated minimiser are grouped by their content, a 64-bit hash of their words
+   beside the hash of the minimiser (partial aggregation first, and joins that deal out a minimiser or
+   content that very many share, so that a text with very many copies is not gathered). All but the
+   first of equal ones are repeats;
 3. first ones whose minimiser has others of another content travel as one packed string each to the
    bucket of the minimiser, where windows are compared in order of (doc_id, start), word for word. A
    bucket of over ``STRINGS`` strings is dealt out by window instead, so no bucket grows unbounded;
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import cut
+from cadastra.llm.common import cut, hot_keys, spread_join
 from cadastra.llm.textkit import Words, chunks, mix, powers
 from cadastra.session import ship
 
@@ -146,13 +148,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = texts.filter("doc_id is not null").mapInArrow(_super_kmers, "minimiser long, content long, doc_id long, start int, n int")
     # four bytes of the minimiser are enough to set aside nearly all that stand alone
     runs = runs.withColumn("key", F.hash("minimiser"))
-    several = runs.groupBy("key").count().filter("count > 1").select("key")
-    runs = cut(runs.join(several, "key", "left_semi").select("minimiser", "content", "doc_id", "start", "n"))
-
-    firsts = cut(runs.groupBy("minimiser", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("f")).select("minimiser", "content", "f.*"))
-    copies = runs.join(firsts.select("minimiser", "content", F.col("doc_id").alias("d"), F.col("start").alias("s")), ["minimiser", "content"]).filter("doc_id <> d or start <> s").select("doc_id", "start", "n")
-    mixed = firsts.groupBy("minimiser").count().filter("count > 1").select("minimiser", F.ceil(F.col("count") / STRINGS).alias("parts"))
-    travel = firsts.join(mixed, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "start", "n", "parts")).alias("kmers"))
+    several = cut(runs.groupBy("key").count().filter("count > 1"))
+    runs = spread_join(runs, several.select("key"), ["key"], hot_keys(several, ["key"]), ["doc_id", "start"], "left_semi")
+    runs = cut(runs.select("minimiser", "content", "doc_id", "start", "n"))
+
+    firsts = cut(runs.groupBy("minimiser", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"), F.count("*").alias("rows")).select("minimiser", "content", "f.*", "rows"))
+    repeated = firsts.filter("rows > 1").select("minimiser", "content", F.col("doc_id").alias("d"), F.col("start").alias("s"))
+    copies = spread_join(runs, repeated, ["minimiser", "content"], hot_keys(firsts, ["minimiser", "content"], "rows"), ["doc_id", "start"])
+    copies = copies.filter("doc_id <> d or start <> s").select("doc_id", "start", "n")
+    mixed = firsts.groupBy("minimiser").count().filter("count > 1")
+    travel = spread_join(firsts, mixed.select("minimiser", F.ceil(F.col("count") / STRINGS).alias("parts")), ["minimiser"], hot_keys(mixed, ["minimiser"]), ["content"])
+    travel = travel.groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "start", "n", "parts")).alias("kmers"))
     packed = texts.join(travel, "doc_id").select("doc_id", "text", "kmers").mapInArrow(_packed, "minimiser long, part long, doc_id long, start int, words binary")
     windows = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start int, n int")
 
