@@ -15,22 +15,25 @@ doc_id goes on. Then
    members compared.
 
 Steps 1 and the order in step 2 affect the work and never the result: every pair that could link
-and isn't connected yet is compared exactly.
+and isn't connected yet is compared exactly. A token is joined with the blocks of a like size only
+(``_band``), and joins on a class, minimum hash, group or token that very many rows share are dealt
+out (``spread_join``).
 
-Rows: a null or wordless text is an empty set, which links with nothing. Rows of equal doc_id count
-as one document. A null doc_id gets a null component. Other columns are ignored.
+Rows: a null or wordless text is an empty set, which links with nothing; a long text is one set. Rows
+of equal doc_id count as one document. A null doc_id gets a null component. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import components, cut
+from cadastra.llm.common import HOT, HOT_LEAST, components, cut, hot_keys, small, spread_join
 from cadastra.llm.textkit import Words, chunks, mix
 from cadastra.session import ship
 
@@ -40,8 +43,8 @@ AGREE = 3
 #: Shingles seen this often among about ``WINDOW`` are put last in the order of prefixes, the
 #: ``FREQUENT`` most frequent ones by their count.
 WINDOW, SEEN, FREQUENT = 1_000_000, 4, 50_000
-#: Shingles of a block, queries of a block, and documents whose ids may be broadcast.
-BLOCK, QUERIES, BROADCAST = 200_000, 500, 2_000_000
+#: Shingles of a block, queries of a block, documents whose ids may be broadcast, and rows a worker unpacks at once.
+BLOCK, QUERIES, BROADCAST, SLICE = 200_000, 500, 2_000_000, 500
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))[:, None]
 _SIGNED = "doc_id long, n long, k1 long, k2 long, mins array<long>"
 
@@ -113,7 +116,7 @@ def _opened(num: int, den: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, union = None, [], [], None
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             a, b = [], []
             for gid, block, salt, kind, doc, part, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (gid, block, salt) != key:
@@ -149,14 +152,12 @@ def _links(texts: DataFrame, k: int, num: int, den: int, members: DataFrame, que
 
     A block with many queries is worked on in several places, each with all its members.
     """
-    many = queries.groupBy("gid", "block").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
-    queries = cut(queries.join(many, ["gid", "block"]).select("gid", "block", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "part"))
+    many = queries.groupBy("gid", "block").count()
+    hot, many = hot_keys(many, ["gid", "block"]), many.select("gid", "block", F.ceil(F.col("count") / QUERIES).alias("salts"))
+    queries = cut(spread_join(queries, many, ["gid", "block"], hot, ["doc_id"]).select("gid", "block", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "part"))
     members = members.join(many, ["gid", "block"]).select("gid", "block", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "doc_id", "part")
     rows = cut(queries.unionByName(members))
-    needed = rows.select("doc_id").distinct()
-    if needed.count() <= BROADCAST:
-        needed = F.broadcast(needed)
-    sets = texts.join(needed, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary")
+    sets = texts.join(small(rows.select("doc_id").distinct(), BROADCAST), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary")
     rows = rows.join(sets, "doc_id").select("gid", "block", "salt", "kind", "doc_id", "part", "tokens")
     rows = rows.repartition("gid", "block", "salt").sortWithinPartitions("gid", "block", "salt", "kind")
     return rows.mapInArrow(_opened(num, den), "a long, b long")
@@ -172,6 +173,14 @@ def demanded(num: int, den: int) -> str:
     return f"least({need('least')}, {need('most')}) - if(most - least > 1, 1, 0)"
 
 
+def _band(n: Column, num: int, den: int) -> Column:
+    """Class of a size; sizes of sets that can link lie in the same or in neighbouring ones.
+
+    The classes are a millionth wider than the ratio of such sizes, so that no rounding parts them by two.
+    """
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / (math.log(den / num) * 1.000001)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: den * intersection >= num * union links."""
     ship(docs.sparkSession)
@@ -181,12 +190,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     tokens, counts = np.array([r[0] for r in late], np.int64).view(np.uint64), np.array([r[1] for r in late], np.int64)
     order = np.argsort(tokens)
     signed = signed.filter("mins is not null")
-    classes = cut(signed.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins")))
+    classes = cut(signed.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("rows")))
 
     # 1. groups
     buckets = classes.select("doc_id", "n", F.posexplode("mins").alias("i", "m"))
     leaders = buckets.groupBy("i", "m").agg(F.min("doc_id").alias("l0"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("l1"), F.count("*").alias("c")).filter("c > 1")
-    pairs = buckets.join(leaders, ["i", "m"]).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("l0").alias("gid")), F.struct(F.lit(1).alias("round"), F.col("l1.doc_id").alias("gid")))).alias("l")).select("doc_id", "l.*").filter("gid <> doc_id")
+    shared = leaders.filter(F.col("c") > max(HOT_LEAST, HOT * HASHES * classes.count())).select("i", "m")
+    pairs = spread_join(buckets, leaders, ["i", "m"], shared, ["doc_id"]).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("l0").alias("gid")), F.struct(F.lit(1).alias("round"), F.col("l1.doc_id").alias("gid")))).alias("l")).select("doc_id", "l.*").filter("gid <> doc_id")
     best = pairs.groupBy("doc_id", "round", "gid").count().filter(f"count >= {AGREE}").groupBy("doc_id", "round").agg(F.max_by("gid", F.struct("count", -F.col("gid"))).alias("gid"))
     best = cut(best.select("doc_id", "gid").distinct())
     queries = best.select("gid", F.lit(0).cast("long").alias("block"), "doc_id", F.lit(1).cast("long").alias("part"))
@@ -197,17 +207,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     # 2. the matrix
     groups = classes.select("doc_id", "n").join(group, "doc_id", "left").join(part, "doc_id", "left").select("doc_id", "n", F.coalesce("gid", "doc_id").alias("gid"), F.coalesce("part", "doc_id").alias("part"))
-    blocks = groups.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    groups = cut(groups.join(blocks, "gid").select("doc_id", "n", "gid", "part", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))
+    blocks = groups.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("count"))
+    groups = cut(spread_join(groups, blocks.select("gid", "blocks"), ["gid"], hot_keys(blocks, ["gid"]), ["doc_id"]).select("doc_id", "n", "gid", "part", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))
     prefixes = texts.mapInArrow(_prefixes(k, num, den, tokens[order], counts[order]), "doc_id long, tokens array<long>")
     rows = prefixes.join(groups, "doc_id").select("doc_id", "n", "gid", "block", "part", F.explode("tokens").alias("token"))
-    met = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    rows = cut(rows.join(met, "token", "left_semi").select("token", "doc_id", "n", "gid", "block", "part"))
+    tokens_of_all = groups.agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1"))).first()[0] or 0
+    met = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("count")).filter("low < high")
+    common = met.filter(F.col("count") > max(HOT_LEAST, HOT * tokens_of_all)).select("token")
+    rows = spread_join(rows, met.select("token"), ["token"], common, ["doc_id"], "left_semi").withColumn("band", _band(F.col("n"), num, den))
+    rows = cut(rows.select("token", "doc_id", "n", "gid", "block", "part", "band"))
     matrix = rows.groupBy("token", F.col("gid").alias("g"), F.col("block").alias("gb")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("low"))
+    matrix = matrix.withColumn("band", F.explode(F.sequence(_band(F.col("least"), num, den) - 1, _band(F.col("most"), num, den) + 1)))
 
     # 3. blocks that a document may open
     opens = (
-        rows.join(matrix, "token").filter(f"low < part and {den} * most >= {num} * n and {num} * least <= {den} * n")
+        rows.join(matrix, ["token", "band"]).filter(f"low < part and {den} * most >= {num} * n and {num} * least <= {den} * n")
         .groupBy("doc_id", "n", "part", "g", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
         .withColumn("least", F.greatest("least", F.expr(f"ceil({num} * n / {den})"))).withColumn("most", F.least("most", F.expr(f"floor({den} * n / {num})")))
         .filter(f"least <= most and met >= {demanded(num, den)}")
@@ -218,14 +232,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     component = components(links.unionByName(_links(texts, k, num, den, members, opens)))
 
     named = classes.select("k1", "k2", F.col("doc_id").alias("v")).join(component, "v", "left").select("k1", "k2", F.coalesce("component", "v").alias("component"))
-    found = signed.join(named, ["k1", "k2"], "left")
+    found = spread_join(signed, named, ["k1", "k2"], hot_keys(classes, ["k1", "k2"], "rows"), ["doc_id"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near copies: of each component the one of the smallest doc_id stays.
 
-    Empty texts and rows without a doc_id stay; of rows that repeat a doc_id all stay or none.
+    Empty texts and rows without a doc_id stay; of rows that repeat a doc_id all stay or none. Of equal
+    texts that of the smallest doc_id stays; a long text counts whole.
     """
     gone = near_duplicates(docs, k, num, den).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
