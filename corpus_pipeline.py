@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of recurring templates, and their n_chars; every document stays."""
-    left = drop_recurring_lines(docs).select(docs.columns)
+    left = drop_recurring_lines(docs, ("lines of the text", "lines dropped")).select(docs.columns)
     return left.withColumn("n_chars", F.char_length("text").cast(left.schema["n_chars"].dataType))
 
 
