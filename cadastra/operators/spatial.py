@@ -44,10 +44,10 @@ def boxes_meeting(left: DataFrame, right: DataFrame, tile: float = TILE) -> Data
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Closed, counter-clockwise; fewer than three points as they are."""
+    """Closed, counter-clockwise; two points go there and back, a single one stays as it is."""
     points = sorted(set(points))
     if len(points) < 3:
-        return points
+        return [*points, points[0]] if len(points) == 2 else points
     sides = []
     for order in (points, points[::-1]):
         side: list[tuple[float, float]] = []
@@ -76,7 +76,7 @@ def hulls(rows: DataFrame, parent: str, point: str) -> DataFrame:
 
 
 def _simple(line: list, tolerance: float) -> list:
-    if len(line) < 3:
+    if len(line) < 3 or tolerance <= 0:
         return list(line)
     xy = np.array([(p["lon"], p["lat"]) for p in line])
     keep, todo = {0, len(line) - 1}, [(0, len(line) - 1)]
@@ -85,8 +85,9 @@ def _simple(line: list, tolerance: float) -> list:
         if b - a < 2:
             continue
         d, rest = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        length = float(np.hypot(*d))
-        far = np.abs(d[0] * rest[:, 1] - d[1] * rest[:, 0]) / length if length else np.hypot(rest[:, 0], rest[:, 1])
+        square = float(d @ d)
+        along = np.clip(rest @ d / square, 0.0, 1.0) if square else np.zeros(len(rest))
+        far = np.hypot(*(rest - along[:, None] * d).T)  # from the segment, not from the line through it
         i = int(np.argmax(far))
         if far[i] > tolerance:
             keep.add(a + 1 + i)

@@ -57,3 +57,44 @@ def attach_segments(records: DataFrame, register: DataFrame, aliases: DataFrame)
     known = register.select(F.col("segment_id").alias("own"))
     alias = aliases.groupBy("code").agg(F.min("segment_id").alias("by_alias"))
     return records.join(known, records["segment"] == known["own"], "left").join(alias, "code", "left").withColumn("segment_id", F.coalesce("own", "by_alias")).drop("own", "by_alias")
+
+
+def unmatched(days: DataFrame, register: DataFrame, directions: DataFrame) -> DataFrame:
+    """Codes with traffic that are in no register, with what the direction map knows of them: ``code, days, flow, ..``.
+
+    ``directions(code, ..)`` has a row a code and direction; the first in order of its columns counts.
+    """
+    out = days.groupBy("code").agg(F.count_distinct("day").alias("days"), F.sum("flow").alias("flow")).join(register.select("code").distinct(), "code", "left_anti")
+    rest = [c for c in directions.columns if c != "code"]
+    known = directions.groupBy("code").agg(F.min(F.struct(*rest)).alias("m")).select("code", "m.*")
+    return out.join(known, "code", "left")
+
+
+def project_direction(days: DataFrame, directions: DataFrame, corridors: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """``days`` with ``project`` and ``corridor`` of their code and direction.
+
+    The direction map ``code, direction, project, corridor`` comes first, where it has both; else the
+    corridor's record ``code, corridor, toward_a, toward_b`` (the smallest corridor of a code) tells which of
+    its two directions, called ``names``, it is. A code in no corridor has neither.
+    """
+    both = directions.filter("project is not null and corridor is not null").groupBy("code", "direction").agg(F.min(F.struct("project", "corridor")).alias("_own"))
+    point = corridors.filter("corridor is not null").groupBy("code").agg(F.min(F.struct("corridor", "toward_a", "toward_b")).alias("_point"))
+    side = F.when(F.col("direction") == F.col("_point.toward_a"), names[0]).when(F.col("direction") == F.col("_point.toward_b"), names[1])
+    out = days.join(both, ["code", "direction"], "left").join(point, "code", "left")
+    return out.withColumn("project", F.coalesce("_own.project", side)).withColumn("corridor", F.coalesce("_own.corridor", "_point.corridor")).drop("_own", "_point")
+
+
+def point_summary(days: DataFrame, shown: str | None = None) -> DataFrame:
+    """A row for each measuring point ``code``: both sides, two ways, days, and days whose sides don't add up.
+
+    ``days(code, role, day, a, b, two_way)``. Points are never added to each other: a code with more than
+    one role is ``mixed`` and has no totals. With ``shown`` (``a`` or ``b``) the other side and the two-way
+    total are left out, as they aren't of that direction.
+    """
+    apart = F.col("two_way") - (F.col("a") + F.col("b"))
+    out = days.groupBy("code").agg(
+        (F.count_distinct("role") > 1).alias("mixed"), F.count_distinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"),
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("two_way").alias("two_way"), F.count_if(apart != 0).alias("mismatch_days"),
+    )
+    hidden = {None: (), "a": ("b", "two_way"), "b": ("a", "two_way")}[shown]
+    return out.withColumns({c: F.when(~F.col("mixed") & F.lit(c not in hidden), F.col(c)) for c in ("a", "b", "two_way")})

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.scalar import fold, jitter, let, url_host
 
-#: What a page says that is removed, or that keeps readers out.
-REMOVED = ("anuncio removido", "anuncio nao encontrado", "imovel indisponivel", "anuncio expirado", "no longer available")
-BLOCKED = ("captcha", "access denied", "acesso negado", "unusual traffic", "verify you are human")
+#: What a page says that is removed.
+REMOVED = (
+    "anuncio nao esta mais disponivel", "imovel nao esta mais disponivel", "este anuncio nao esta mais disponivel", "este imovel nao esta mais disponivel", "anuncio foi removido", "anuncio removido", "anuncio indisponivel",
+    "imovel indisponivel", "anuncio expirado", "anuncio desativado", "anuncio inativo", "imovel ja foi vendido", "imovel ja foi alugado", "nao encontramos o imovel", "nao encontramos este imovel", "nao encontramos esse imovel",
+    "pagina nao encontrada", "anuncio nao encontrado", "imovel nao encontrado",
+)
+#: What a page says that keeps readers out.
+BLOCKED = (
+    "just a moment", "attention required", "cf-chl", "cf_chl", "px-captcha", "perimeterx", "datadome", "are you a robot", "are you human", "access denied", "acesso negado", "request unsuccessful", "incapsula",
+    "verifique que voce e humano", "captcha",
+)
 _LD = r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import geometry as G
 from cadastra.operators.spatial import assign_regions, boxes_meeting, hulls, simplified
-from cadastra.registry import query, table
+from cadastra.registry import dealt, query, table
 
 
 def _at(key: str, mod: int, scale: float, base: float) -> Column:
@@ -59,7 +59,7 @@ SELECT l_orderkey, l_linenumber, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians
 def line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat, d = -48 + (F.col("l_partkey") % 100) / 100.0, -16 + (F.col("l_suppkey") % 50) / 100.0, F.col("l_quantity") / 1000.0
     p = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.length_km(F.array(p(lon, lat), p(lon, lat + d), p(lon + d, lat + d))), 6).alias("km"))
+    return dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).select("l_orderkey", "l_linenumber", F.round(G.length_km(F.array(p(lon, lat), p(lon, lat + d), p(lon + d, lat + d))), 6).alias("km"))
 
 
 @query("""SELECT s_suppkey, round((s_suppkey % 50) / 10.0 + 0.5, 6) AS lon, CAST(s_suppkey % 30 AS DOUBLE) AS lat FROM supplier""")

@@ -92,9 +92,9 @@ def research_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.research_queue(c, "c_custkey", ["phone", "c_mktsegment"])
 
 
-@query("""SELECT c_nationkey % 7 AS key, count(DISTINCT c_mktsegment) AS values FROM customer WHERE c_custkey < 40 GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1""")
+@query("""SELECT c_nationkey % 7 AS key, count(DISTINCT c_mktsegment) AS values FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1""")
 def key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.key_conflicts(table(spark, sf_dir, "customer").filter("c_custkey < 40").withColumn("key", F.col("c_nationkey") % 7), "key", "c_mktsegment")
+    return Q.key_conflicts(table(spark, sf_dir, "customer").withColumn("key", F.col("c_nationkey") % 7), "key", "c_mktsegment")
 
 
 @query(r"""SELECT doc_id, 'private_key' AS code FROM documents WHERE regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') UNION ALL SELECT doc_id, 'google_key' FROM documents WHERE regexp_matches(text, 'AIza[0-9A-Za-z_-]{35}')
@@ -127,7 +127,7 @@ def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996 INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1998 EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1997""")
 def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda y: table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == y).select("o_custkey").distinct()
+    of = lambda y: table(spark, sf_dir, "orders").filter(f"o_orderdate >= '{y}-01-01' and o_orderdate < '{y + 1}-01-01'").select("o_custkey").distinct()
     return of(1996).intersect(of(1998)).subtract(of(1997))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.functions import scalar as S
-from cadastra.registry import query, table
+from cadastra.registry import dealt, query, table
 
 
 def _grouped(n: Column, comma: bool) -> Column:
@@ -19,7 +19,7 @@ def _grouped(n: Column, comma: bool) -> Column:
   l_discount AS percent, CAST(l_quantity AS BIGINT) AS whole, CAST(NULL AS DOUBLE) AS unreadable FROM lineitem""")
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d = F.col("l_extendedprice"), F.col("l_discount")
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity")).select(
         "l_orderkey", "l_linenumber",
         S.number(_grouped(p, True)).alias("both_pt"), S.number(_grouped(p, False)).alias("both_en"), S.number(F.format_string("%.2f", p)).alias("plain"),
         S.number(F.concat(F.lit("R$ "), _grouped(p, True))).alias("money"), S.number(F.concat(F.translate(F.format_string("%.2f", d), ".", ","), F.lit(" %"))).alias("percent"),

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.registry import query
+from cadastra.session import shared_folder
 from cadastra.streaming import traffic
 
 _CLOSED = "(SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM events)"
 
 
-def _shared(spark: SparkSession) -> str:
-    """The session's shared folder; one of its own only where none is set (local tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-
-
 def replayed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
-    folder = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     run = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")

@@ -50,3 +50,12 @@ def load() -> dict[str, Query]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its source has fewer row groups than that.
+
+    For costly work a row on small tables; a table of many row groups is read as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

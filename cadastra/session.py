@@ -1,4 +1,4 @@
-"""Making the package known to the executors' Python workers."""
+"""The session's shared folder, and making the package known to the executors' Python workers."""
 
 from __future__ import annotations
 
@@ -6,11 +6,30 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session that has none gets one of its own."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder of the session."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's source to the workers of this application, once, as --py-files would."""
     sc = spark.sparkContext
