@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.scalar import ratio
+from cadastra.session import cut
 
 
 def cube(listings: DataFrame, coarse: Sequence[str], fine: Sequence[str], source: str) -> DataFrame:
@@ -54,6 +55,28 @@ def close_month(history_rows: DataFrame, path: str) -> None:
     history_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("reference_month").parquet(path)
 
 
+def close_months(updates: DataFrame, path: str, state: str) -> None:
+    """``close_month`` as a stream job: take what has arrived, then stop.
+
+    Each batch rewrites the months it holds from the rows of the months as they are and its own, the newest
+    row of an ``id`` (by ``seen``) winning; a batch that is run again gives the same.
+    """
+
+    def close(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        months = [r[0] for r in batch.select("reference_month").distinct().collect()]  # a row a month of the batch
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        rows = batch
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            rows = spark.read.schema(batch.schema).parquet(path).filter(F.col("reference_month").isin(months)).unionByName(batch)
+        rest = [c for c in batch.columns if c not in ("reference_month", "id")]
+        newest = rows.groupBy("reference_month", "id").agg(F.max_by(F.struct(*rest), F.struct("seen", *rest)).alias("r"))
+        # the months are read before they are replaced
+        close_month(cut(newest.select("reference_month", "id", "r.*")), path)
+
+    updates.writeStream.foreachBatch(close).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def freshness(df: DataFrame, today: Column, seen: str, active: Column, days: int = 7) -> DataFrame:
     """One row: how many are active, recently seen, and the period they span."""
     recent = F.datediff(today, F.col(seen)).between(0, days)

@@ -82,8 +82,14 @@ def write_sharded(df: DataFrame, path: str, region: str) -> None:
 
 
 def catalogue(files: DataFrame, previous: DataFrame) -> DataFrame:
-    """Content hash of each dataset from its files' ``dataset, path, sha``; the version grows if it changed."""
-    now = files.groupBy("dataset").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha"))), "\n"), 256).alias("hash"), F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+    """Content hash of each dataset from its files' ``dataset, path, sha``; the version grows if it changed.
+
+    Files are hashed in 4096 buckets by the hash of their path, and then the buckets, so that no task holds
+    all files of a dataset.
+    """
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    bucket = files.groupBy("dataset", F.substring(F.sha2("path", 256), 1, 3).alias("bucket")).agg(joined(F.concat_ws(":", "path", "sha")).alias("h"), F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+    now = bucket.groupBy("dataset").agg(joined(F.concat_ws(":", "bucket", "h")).alias("hash"), F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
     old = previous.select("dataset", F.col("hash").alias("old"), F.col("version").alias("v"))
     version = F.when(F.col("old").isNull(), 1).when(F.col("old") == F.col("hash"), F.col("v")).otherwise(F.col("v") + 1)
     return now.join(old, "dataset", "left").select("dataset", "hash", "bytes", "files", version.alias("version"))

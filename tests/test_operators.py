@@ -131,6 +131,7 @@ def test_betweenness_against_a_plain_search(spark: SparkSession) -> None:
     rnd = random.Random(5)
     pairs = {tuple(sorted(rnd.sample("abcdefgh", 2))) for _ in range(14)}
     edges = [(i, u, v, float(rnd.randint(1, 4)), rnd.random() < 0.3) for i, (u, v) in enumerate(sorted(pairs))]
+    edges += [(100 + i, u, v, w, oneway) for i, u, v, w, oneway in edges[:4]] + [(200, *edges[0][1:3], 9.0, False)]  # parallel ones
     arcs = defaultdict(list)
     for e, u, v, w, oneway in edges:
         arcs[u].append((v, w, e))
@@ -147,6 +148,37 @@ def test_hull_of_a_square(spark: SparkSession) -> None:
     assert [(p["lon"], p["lat"]) for p in ring] == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
 
 
+def plain_simple(line: list, tolerance: float) -> list:
+    """The recursion on the distance from the segment."""
+
+    def away(p: tuple, a: tuple, b: tuple) -> float:
+        d = (b[0] - a[0], b[1] - a[1])
+        n = d[0] ** 2 + d[1] ** 2
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / n)) if n else 0.0
+        return ((p[0] - a[0] - t * d[0]) ** 2 + (p[1] - a[1] - t * d[1]) ** 2) ** 0.5
+
+    if len(line) < 3 or tolerance <= 0:
+        return line
+    far = [away(p, line[0], line[-1]) for p in line[1:-1]]
+    i = far.index(max(far)) + 1
+    return plain_simple(line[: i + 1], tolerance)[:-1] + plain_simple(line[i:], tolerance) if far[i - 1] > tolerance else [line[0], line[-1]]
+
+
+def test_simplified_lines_against_a_plain_recursion(spark: SparkSession) -> None:
+    rnd = random.Random(9)
+    lines = [[(0.0, 0.0), (3.0, 0.0), (1.0, 0.0)], [(0.0, 0.0), (1.0, 1.0)], *([(rnd.uniform(0, 5), rnd.uniform(0, 2)) for _ in range(rnd.randrange(2, 15))] for _ in range(40))]
+    df = spark.createDataFrame([(i, [{"lon": x, "lat": y} for x, y in line]) for i, line in enumerate(lines)], "i int, line array<struct<lon:double,lat:double>>")
+    for tolerance in (0.5, 0.0):
+        got = {r["i"]: [(p["lon"], p["lat"]) for p in r["simple"]] for r in spatial.simplified(df, "line", tolerance).collect()}
+        assert got == {i: plain_simple(line, tolerance) for i, line in enumerate(lines)}
+
+
+def test_hull_of_two_points_is_closed(spark: SparkSession) -> None:
+    rows = [("p", {"lon": float(x), "lat": 0.0}) for x in (1, 0, 1)] + [("q", {"lon": 2.0, "lat": 2.0})]
+    rings = {r["parent"]: [(p["lon"], p["lat"]) for p in r["ring"]] for r in spatial.hulls(spark.createDataFrame(rows, "parent string, point struct<lon:double,lat:double>"), "parent", "point").collect()}
+    assert rings == {"p": [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)], "q": [(2.0, 2.0)]}
+
+
 def test_csv_round_trip_is_guarded(spark: SparkSession, tmp_path) -> None:
     df = spark.createDataFrame([("=1+1", "a;b"), ("x", 'say "hi"')], "a string, b string")
     files.write_csv(df, str(tmp_path / "csv"))
