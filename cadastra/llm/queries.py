@@ -91,6 +91,24 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [len(ws) || ' ' || array_to_string(ws, ' ')] ELSE [] END) AS g FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), either_way AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(v, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reached.c FROM reached JOIN either_way e ON e.a = reached.v WHERE reached.c < e.b
+)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN reached ON v = doc_id GROUP BY doc_id
+""",
     "op8_substring_dedup": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
