@@ -159,3 +159,77 @@ def metric_cells(metrics: DataFrame, cells: DataFrame, metric: str, year: int, m
 def metric_catalogue(metrics: DataFrame) -> DataFrame:
     """Rows of every dataset, metric and year."""
     return metrics.groupBy("dataset", "metric", "year").agg(F.count("*").alias("rows"))
+
+
+#: Criteria that hold for one kind of record only, and hide the others when they are asked for.
+ONLY = {"sales_stage": "development", "anchor_group": "anchor", "anchor_segment": "anchor", "property_type": "listing"}
+#: Fields that a text is looked for in.
+SEARCHED = ("title", "locality", "address", "property_type", "developer_name", "category", "anchor_segment")
+
+
+def record_filter(df: DataFrame, *, kinds: Sequence[str] = (), active_only: bool = False, text: str | None = None, least_price: float | None = None, most_price: float | None = None, bedrooms: int | None = None, orientation: str | None = None, **equal: str | None) -> DataFrame:
+    """Records that meet all criteria; a criterion that isn't given restricts nothing.
+
+    A record without the value that a criterion asks for doesn't meet it. Prices overlap as ranges
+    (``price_min`` to ``price_max``, else ``price``), bedrooms reach the number (``bedrooms_max``, else
+    ``bedrooms``), the orientation is compared without case and blanks, the text without accents in any
+    searched field, and an inactive listing is left out if only active ones are wanted.
+    """
+    from cadastra.functions.scalar import fold
+
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    out = df
+    if kinds:
+        out = out.filter(F.col("kind").isin(list(kinds)))
+    if active_only:
+        out = out.filter(~((F.col("kind") == "listing") & (F.lower(F.trim(F.coalesce(has("status"), F.lit("")))) == "inactive")))
+    if text and text.strip():
+        shown = F.concat_ws(" ", *(has(c) for c in SEARCHED))
+        out = out.filter(fold(shown).contains(fold(F.lit(text))))
+    if orientation:
+        out = out.filter(F.lower(F.trim(F.coalesce(has("building_orientation"), F.lit("")))) == orientation.strip().lower())
+    for column, value in equal.items():
+        if value:
+            if column in ONLY:
+                out = out.filter(F.col("kind") == ONLY[column])
+            out = out.filter(has(column) == value)
+    if least_price is not None:
+        out = out.filter(F.coalesce(has("price_max"), has("price")) >= least_price)
+    if most_price is not None:
+        out = out.filter(F.coalesce(has("price_min"), has("price")) <= most_price)
+    if bedrooms is not None:
+        out = out.filter(F.coalesce(has("bedrooms_max"), has("bedrooms")) >= bedrooms)
+    return out
+
+
+def list_filter(df: DataFrame, *, lists: Mapping[str, str | None], ranges: Mapping[str, tuple[float | None, float | None]], box: tuple[float, float, float, float] | None = None, text: str | None = None, fields: Sequence[str] = (), status: str = "active") -> DataFrame:
+    """Rows of a listing table by lists of values parted by commas, ranges, a box of (west, south, east, north) and a text.
+
+    A list that is given but holds no value matches nothing; the status is ``active`` unless another, or
+    ``all``, is asked for; the text may be in any of the fields.
+    """
+    from cadastra.functions.scalar import fold
+
+    out = df if status == "all" else df.filter(F.col("status") == status)
+    for column, values in lists.items():
+        if values is not None:
+            wanted = [v.strip() for v in values.split(",") if v.strip()]
+            out = out.filter(F.col(column).isin(wanted) if wanted else F.lit(False))
+    for column, (least, most) in ranges.items():
+        if least is not None:
+            out = out.filter(F.col(column) >= least)
+        if most is not None:
+            out = out.filter(F.col(column) <= most)
+    if box is not None:
+        out = out.filter(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    if text and text.strip():
+        hits = [fold(F.col(c)).contains(fold(F.lit(text))) for c in fields]
+        out = out.filter(F.coalesce(F.exists(F.array(*hits), lambda x: x), F.lit(False)))
+    return out
+
+
+def files_in_box(bounds: DataFrame, box: tuple[float, float, float, float]) -> list[str]:
+    """Paths of the files whose bounds ``path, west, south, east, north`` cross a box; a row a file."""
+    west, south, east, north = box
+    rows = bounds.filter((F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south))
+    return sorted(r["path"] for r in rows.select("path").distinct().collect())

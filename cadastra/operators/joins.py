@@ -98,3 +98,30 @@ def all_of(values: DataFrame, ident: str, attribute: str, rules: dict[str, Colum
 def attributes(values: DataFrame, ident: str, attribute: str, value: str, names: Sequence[str]) -> DataFrame:
     """Entity-attribute-value rows as a column an attribute."""
     return values.groupBy(ident).pivot(attribute, list(names)).agg(F.first(value, ignorenulls=True))
+
+
+def enriched(df: DataFrame, other: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the columns of ``other`` (a row a key), and one row ``matched, left_only, right_only``."""
+    marked = other.withColumn("_right", F.lit(True))
+    sides = df.select(key).distinct().withColumn("_left", F.lit(True)).join(marked.select(key, "_right"), key, "full_outer")
+    both, left = F.col("_left").isNotNull() & F.col("_right").isNotNull(), F.col("_right").isNull()
+    counts = sides.agg(F.count_if(both).alias("matched"), F.count_if(left).alias("left_only"), F.count_if(F.col("_left").isNull()).alias("right_only"))
+    return df.join(other, key, "left"), counts
+
+
+def resolved(df: DataFrame, text: str, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the ``id`` of their place, and those that have none.
+
+    ``places(id, code, legacy, name)``: a text is looked for as an id, then as a code, an old code and a
+    name without accents; the smallest id of equal ones is taken.
+    """
+    from cadastra.functions.scalar import fold
+
+    keys = F.array(*(F.struct(F.lit(i).alias("rank"), k.alias("k")) for i, k in enumerate((F.col("id").cast("string"), F.col("code"), F.col("legacy"), fold(F.col("name"))))))
+    known = places.select("id", F.explode(keys).alias("x")).filter("x.k is not null and x.k <> ''").select("id", "x.rank", "x.k").groupBy("rank", "k").agg(F.min("id").alias("id"))
+    best = known.groupBy("k").agg(F.min(F.struct("rank", "id")).alias("b"))
+    name = known.filter("rank = 3").select(F.col("k").alias("folded"), F.col("id").alias("by_name"))
+    exact = best.filter("b.rank < 3").select(F.col("k").alias("_k"), F.col("b.id").alias("by_key"))
+    t = F.trim(F.col(text))
+    out = df.withColumn("_k", t).withColumn("folded", fold(t)).join(exact, "_k", "left").join(name, "folded", "left").withColumn("place_id", F.coalesce("by_key", "by_name")).drop("_k", "folded", "by_key", "by_name")
+    return out.filter("place_id is not null"), out.filter("place_id is null").drop("place_id").withColumn("reason", F.lit("unknown_place"))

@@ -43,6 +43,26 @@ def duplicates(df: DataFrame, key: str, position: str) -> DataFrame:
     return again.unionByName(empty)
 
 
+def header_findings(columns: Sequence[str], required: Sequence[str]) -> list[tuple[str, str]]:
+    """(code, column) of headers that are blank, repeated or missing."""
+    names = [c.strip() for c in columns]
+    found = [("blank_header", str(i + 1)) for i, c in enumerate(names) if not c]
+    found += [("duplicate_header", c) for c in dict.fromkeys(names) if c and names.count(c) > 1]
+    return found + [("missing_header", c) for c in required if c not in names]
+
+
+def crosswalk_findings(df: DataFrame, number: str, code: str, keys: Sequence[str], expected: int) -> DataFrame:
+    """``ident, code``: codes that don't read back as their number, keys that repeat, and a wrong number of rows."""
+    from cadastra.functions.scalar import region_number
+
+    wrong = df.filter(~F.coalesce(region_number(F.col(code)) == F.col(number), F.lit(False))).select(F.col(code).cast("string").alias("ident"), F.lit("roman").alias("code"))
+    for key in keys:
+        again = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+        wrong = wrong.union(again.select(F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.lit("repeated")))
+    total = df.agg(F.count("*").alias("n")).filter(F.col("n") != expected)
+    return wrong.union(total.select(F.col("n").cast("string"), F.lit("count")))
+
+
 def validate_batch(batch: DataFrame, line: str, key: str, rules: Sequence[Rule], existing: DataFrame, mode: str) -> DataFrame:
     """The batch with ``errors`` and ``action``: reject, insert, update or ignore.
 

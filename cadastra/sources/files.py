@@ -27,9 +27,11 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> Da
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """``;`` between cells, text cells guarded against being read as formulas."""
+    """``;`` between cells, a byte order mark before the header, text cells guarded against being read as formulas."""
     cells = [guarded(F.col(c)).alias(c) if isinstance(t.dataType, T.StringType) else F.col(c) for c, t in zip(df.columns, df.schema.fields, strict=True)]
-    df.select(*cells).write.mode("overwrite").csv(path, sep=";", header=True, quote='"', escape='"')
+    marked = df.select(*cells)
+    marked = marked.withColumnRenamed(marked.columns[0], chr(0xFEFF) + marked.columns[0])
+    marked.write.mode("overwrite").csv(path, sep=";", header=True, quote='"', escape='"')
 
 
 def clean(text: Column) -> Column:
