@@ -126,8 +126,8 @@ SEVERITY = ("error", "warning", "info")
 
 
 def ordered(findings: DataFrame, *then: str) -> DataFrame:
-    """By severity, then the given columns."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("severity")), F.lit(99))
+    """By severity, unknown ones last, then the given columns."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("severity")), F.lit(0)), F.lit(99))
     return findings.orderBy(rank, *then)
 
 

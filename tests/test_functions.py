@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import geometry as G
 from cadastra.functions import scalar as S
+from cadastra.functions import vocabulary as V
+from cadastra.operators import web as W
 
 
 def values(spark: SparkSession, texts: list, use, kind: str = "string") -> list:
@@ -65,3 +67,21 @@ def test_hole_is_outside(spark: SparkSession) -> None:
 def test_degenerate_ring_has_the_mean_of_its_vertices(spark: SparkSession) -> None:
     ring = F.array(*(F.struct(F.lit(float(v)).alias("lon"), F.lit(0.0).alias("lat")) for v in (0, 1, 2)))
     assert spark.range(1).select(G.centroid(ring)["lon"]).first()[0] == 1.0
+
+
+def test_geometry_fingerprint_and_rounding(spark: SparkSession) -> None:
+    rows = [(1, [{"lon": 0.12345649, "lat": 1.0}]), (2, [{"lon": 0.1234560, "lat": 1.0000001}]), (3, [{"lon": 0.2, "lat": 1.0}])]
+    df = spark.createDataFrame(rows, "i int, ring array<struct<lon:double,lat:double>>")
+    got = {r["i"]: r["f"] for r in df.select("i", G.fingerprint(F.col("ring")).alias("f")).collect()}
+    assert got[1] == got[2] != got[3]
+    assert df.select(G.rounded(F.col("ring"), 2)[0]["lon"]).first()[0] == 0.12
+
+
+def test_first_filled_and_titles(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(" ", "b", "são joão da serra"), ("a", "b", "  DE  LUZ "), (None, "", "")], "x string, y string, n string")
+    assert [tuple(r) for r in df.select(S.first_filled(F.col("x"), F.col("y")), V.title(F.col("n"))).collect()] == [("b", "São João da Serra"), ("a", "De Luz"), (None, "")]
+
+
+def test_hidden_elements_are_not_seen(spark: SparkSession) -> None:
+    html = """<p>a</p><div class="x d-none">b</div><span hidden>c</span><i style="color:red; display: none">d</i><b aria-hidden="true">e</b><p class="not-hidden">f</p>"""
+    assert spark.createDataFrame([(html,)], "h string").select(W.visible_text(F.col("h"))).first()[0] == "a f"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import graph, joins, lifecycle, period, quality, spatial, stats, survey
+from cadastra.operators import filters, graph, joins, lifecycle, period, quality, spatial, stats, survey
 from cadastra.operators.period import Metric
 from cadastra.sources import files
 from cadastra.streaming.lifecycle import lifecycle_events
@@ -208,3 +208,19 @@ def test_survey_helpers(spark: SparkSession) -> None:
     assert survey.drift(df, ["id", "area"]) == {"missing": ["area"], "unknown": ["price", "name"]}
     assert survey.refresh_allowed({"a": (df, ["id", "area"]), "b": (df.limit(0), ["id"])}) == ["a: column area is missing", "b: no rows"]
     assert [r["name"] for r in survey.resolve_aliases(df, {"name": ["price"]}).orderBy("id").collect()] == ["R$ 1.000,00", "x"]
+
+
+def test_findings_in_order_of_severity(spark: SparkSession) -> None:
+    df = spark.createDataFrame([("b", "info"), ("a", "odd"), ("c", "error"), ("a", "error"), ("z", "warning")], "ident string, severity string")
+    assert [tuple(r) for r in quality.ordered(df, "ident").collect()] == [("a", "error"), ("c", "error"), ("z", "warning"), ("b", "info"), ("a", "odd")]
+
+
+def test_headers_are_checked() -> None:
+    assert quality.header_findings(["id", " ", "price", "id "], ["id", "area"]) == [("blank_header", "2"), ("duplicate_header", "id"), ("missing_header", "area")]
+
+
+def test_files_in_a_box_and_the_median(spark: SparkSession) -> None:
+    bounds = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0), ("b", 2.0, 2.0, 3.0, 3.0), ("c", -5.0, 0.5, 0.0, 0.7)], "path string, west double, south double, east double, north double")
+    assert filters.files_in_box(bounds, (0.0, 0.0, 1.5, 1.5)) == ["a", "c"]
+    for values, want in (([3.0, 1.0, 2.0, 2.0], 2.0), ([1.0, 4.0], 2.5), ([7.0], 7.0), ([], None)):
+        assert filters.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()[0] == want
