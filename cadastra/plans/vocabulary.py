@@ -44,13 +44,13 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", V.title(F.concat(F.lit(" "), F.upper("n_name"), F.lit("  DO SUL"))).alias("name"))
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 1 AND (p_name ILIKE '%a%' OR p_brand ILIKE '%a%') AND p_type LIKE '%BRASS' AND p_retailprice + CASE WHEN p_size % 2 = 0 THEN 50 ELSE 0 END >= 950 AND p_retailprice <= 1900 AND p_size % 5 >= 2""")
+@query("""SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 1 AND (p_name ILIKE '%a%' OR p_brand ILIKE '%a%') AND p_type LIKE 'S%' AND p_retailprice + CASE WHEN p_size % 2 = 0 THEN 50 ELSE 0 END >= 950 AND p_retailprice <= 1900 AND p_size % 5 >= 2""")
 def record_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active listings of one type by a text, a range of prices and bedrooms."""
     k = F.col("p_partkey")
     p = table(spark, sf_dir, "part").select(
         k.alias("id"), F.when(k % 3 == 0, "listing").when(k % 3 == 1, "development").otherwise("anchor").alias("kind"), F.when(k % 4 == 1, " Inactive").otherwise("").alias("status"), F.upper("p_name").alias("title"), F.col("p_brand").alias("locality"),
-        F.when(F.col("p_type").endswith("BRASS"), "casa").otherwise("lote").alias("property_type"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice") + 50).alias("price_max"), (F.col("p_size") % 5).alias("bedrooms"),
+        F.when(F.col("p_type").startswith("S"), "casa").otherwise("lote").alias("property_type"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice") + 50).alias("price_max"), (F.col("p_size") % 5).alias("bedrooms"),
     )
     found = L.record_filter(p, kinds=["listing", "anchor"], active_only=True, text="Á", property_type="casa", least_price=950, most_price=1900, bedrooms=2, sales_stage=None)
     return found.select(F.col("id").alias("p_partkey"))
