@@ -2,54 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than this share of the rows, so there are at most 1 / HOT hot keys.
-HOT, HOT_LEAST = 1 / 10_000, 200
+from cadastra.registry import dealt
+from cadastra.session import cut, shared_folder
+
+#: Hot keys are the HOT largest ones, if they have more than HOT_LEAST rows; any other key has less than 1 / HOT of all rows.
+HOT, HOT_LEAST = 10_000, 200
 #: Places that a hot key's rows are dealt to.
 SALTS = 64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["components", "cut", "hot_keys", "shared_folder", "small", "spread_join", "table", "total_of"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only a local session that has none gets one of its own."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, over all cores even if it is small."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of the session."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
 
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "count") -> DataFrame | None:
+    """The HOT largest keys of ``counts`` (a row a key, ``n`` its rows) with more than HOT_LEAST rows; None if there is none.
 
-def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "count") -> DataFrame:
-    """Keys of ``counts`` (a row a key, ``n`` its rows) that hold more than the share HOT of all rows."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.filter(F.col(n) > max(HOT_LEAST, total * HOT)).select(*on)
+    As there are HOT of them at most, they may go to the driver and be broadcast.
+    """
+    found = counts.filter(F.col(n) > HOT_LEAST).orderBy(F.desc(n), *on).limit(HOT).select(*on)
+    rows = found.collect()
+    return found.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame, deal: Sequence[str], how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame | None, deal: Sequence[str], how: str = "inner") -> DataFrame:
     """``many.join(one, on, how)`` where the rows of the ``hot`` keys are dealt to SALTS places.
 
-    ``hot`` has at most 1 / HOT keys (``hot_keys``), so it is broadcast; the rows of ``one`` with such a
+    ``hot`` has at most HOT keys (``hot_keys``), so it is broadcast; the rows of ``one`` with such a
     key are repeated in each place. ``deal`` names the columns of ``many`` whose hash picks the place.
     """
+    if hot is None:
+        return many.join(one, list(on), how)
     mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     place = F.when(F.col("_hot"), F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int")).otherwise(0)
     places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -72,11 +64,11 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in ``links(a, b)``: columns ``v, component``.
 
     Each round takes the smallest label among the neighbours and then follows the label's own label,
-    until no label changes. A hub's links, and the members of a large component, which share a label,
-    are dealt to many places (``spread_join``); sums and minima are made partly before the shuffle.
+    until no label changes. Both joins are of two shuffled tables and feed a shuffle or a checkpoint, so
+    that adaptive execution deals out the links of a hub and the members of a large component, which share
+    a label; minima are made partly before the shuffle.
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    hubs = cut(hot_keys(edges.groupBy("b").count(), ["b"]))
     now = cut(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
     before = None
     while True:
@@ -84,8 +76,7 @@ def components(links: DataFrame) -> DataFrame:
         if total is None or total == before:
             return now.withColumnRenamed("l", "component")
         before = total
-        low = spread_join(edges, now.withColumnRenamed("v", "b"), ["b"], hubs, ["a"]).groupBy("a").agg(F.min("l").alias("m"))
+        low = edges.join(now.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = cut(now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l")))
-        shared = hot_keys(step.groupBy("l").count(), ["l"])
         up = step.select(F.col("v").alias("l"), F.col("l").alias("up"))
-        now = cut(spread_join(step, up, ["l"], shared, ["v"]).select("v", F.col("up").alias("l")))
+        now = cut(step.join(up, "l").select("v", F.col("up").alias("l")))

@@ -78,7 +78,7 @@ def _spread(state: DataFrame, links: DataFrame) -> DataFrame:
     """
     flows = links.select(F.lit("t").alias("kind"), F.col("src").alias("host"), "dst", "count").union(links.select(F.lit("d").alias("kind"), "dst", "src", "count"))
     sums = cut(flows.groupBy("kind", "host").agg(F.sum("count").alias("out"), F.count("*").alias("rows")))
-    hubs = cut(hot_keys(sums, ["kind", "host"], "rows"))
+    hubs = hot_keys(sums, ["kind", "host"], "rows")
     flows = spread_join(flows, sums.drop("rows"), ["kind", "host"], hubs, ["dst"]).select("kind", "host", "dst", (DAMPING * F.col("count") / F.col("out")).alias("part"), F.lit(0.0).alias("stays"))
     flows = cut(flows.union(state.select("kind", "host", F.col("host").alias("dst"), F.lit(0.0), F.lit(1.0))))
     while True:
