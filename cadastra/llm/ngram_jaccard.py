@@ -16,8 +16,8 @@ doc_id goes on. Then
 
 Steps 1 and the order in step 2 affect the work and never the result: every pair that could link
 and isn't connected yet is compared exactly. A token is joined with the blocks of a like size only
-(``_band``), and joins on a class, minimum hash, group or token that very many rows share are dealt
-out (``spread_join``).
+(``_band``). Joins on a class or token that very many rows share are dealt out by ``spread_join``, those on
+a minimum hash, group or block by adaptive execution.
 
 Rows: a null or wordless text is an empty set, which links with nothing; a long text is one set. Rows
 of equal doc_id count as one document. A null doc_id gets a null component. Other columns are ignored.
@@ -152,9 +152,9 @@ def _links(texts: DataFrame, k: int, num: int, den: int, members: DataFrame, que
 
     A block with many queries is worked on in several places, each with all its members.
     """
-    many = queries.groupBy("gid", "block").count()
-    hot, many = hot_keys(many, ["gid", "block"]), many.select("gid", "block", F.ceil(F.col("count") / QUERIES).alias("salts"))
-    queries = cut(spread_join(queries, many, ["gid", "block"], hot, ["doc_id"]).select("gid", "block", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "part"))
+    # a table of its own: broadcast, or else joined so that adaptive execution can deal out the queries of one block
+    many = small(cut(queries.groupBy("gid", "block").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))), BROADCAST)
+    queries = cut(queries.join(many, ["gid", "block"]).select("gid", "block", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(1).alias("kind"), "doc_id", "part"))
     members = members.join(many, ["gid", "block"]).select("gid", "block", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "doc_id", "part")
     rows = cut(queries.unionByName(members))
     sets = texts.join(small(rows.select("doc_id").distinct(), BROADCAST), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary")
@@ -166,19 +166,22 @@ def _links(texts: DataFrame, k: int, num: int, den: int, members: DataFrame, que
 def demanded(num: int, den: int) -> str:
     """Prefix tokens that ``n`` shingles share at least with a linked set of ``least`` to ``most``, as SQL.
 
-    Without its two ceilings the count is least at one of the ends; with them sizes in between can
-    need one less.
+    The count grows with the other size up to ``n`` and falls beyond it but for its two ceilings, which
+    sway it by less than two, so the least one is that of ``least`` or of one of the largest few sizes.
     """
     need = lambda s: f"ceil({num} * (n + {s}) / {num + den}) - ceil({num} * greatest(n, {s}) / {den}) + 1"
-    return f"least({need('least')}, {need('most')}) - if(most - least > 1, 1, 0)"
+    few = math.ceil(2 / (num / den - num / (num + den)))
+    return f"least({need('least')}, {', '.join(need(f'greatest(most - {j}, least)') for j in range(few + 1))})"
 
 
-def _band(n: Column, num: int, den: int) -> Column:
-    """Class of a size; sizes of sets that can link lie in the same or in neighbouring ones.
+def _band(n: Column, num: int, den: int, away: int = 0) -> Column:
+    """Class of a size, or of the size ``away`` steps from it; sets that can link are a step apart at most.
 
-    The classes are a millionth wider than the ratio of such sizes, so that no rounding parts them by two.
+    A class is four steps wide, and a step a millionth wider than the ratio of such sizes, so that no
+    rounding parts them.
     """
-    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / (math.log(den / num) * 1.000001)).cast("int")
+    step = math.log(den / num) * 1.000001 if num < den else 1e-6
+    return F.floor((F.log(F.greatest(n, F.lit(1)).cast("double")) / step + away) / 4).cast("int")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -194,9 +197,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     # 1. groups
     buckets = classes.select("doc_id", "n", F.posexplode("mins").alias("i", "m"))
-    leaders = buckets.groupBy("i", "m").agg(F.min("doc_id").alias("l0"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("l1"), F.count("*").alias("c")).filter("c > 1")
-    shared = leaders.filter(F.col("c") > max(HOT_LEAST, HOT * HASHES * classes.count())).select("i", "m")
-    pairs = spread_join(buckets, leaders, ["i", "m"], shared, ["doc_id"]).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("l0").alias("gid")), F.struct(F.lit(1).alias("round"), F.col("l1.doc_id").alias("gid")))).alias("l")).select("doc_id", "l.*").filter("gid <> doc_id")
+    leaders = cut(buckets.groupBy("i", "m").agg(F.min("doc_id").alias("l0"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("l1"), F.count("*").alias("c")).filter("c > 1"))
+    pairs = buckets.join(leaders, ["i", "m"]).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("round"), F.col("l0").alias("gid")), F.struct(F.lit(1).alias("round"), F.col("l1.doc_id").alias("gid")))).alias("l")).select("doc_id", "l.*").filter("gid <> doc_id")
     best = pairs.groupBy("doc_id", "round", "gid").count().filter(f"count >= {AGREE}").groupBy("doc_id", "round").agg(F.max_by("gid", F.struct("count", -F.col("gid"))).alias("gid"))
     best = cut(best.select("doc_id", "gid").distinct())
     queries = best.select("gid", F.lit(0).cast("long").alias("block"), "doc_id", F.lit(1).cast("long").alias("part"))
@@ -207,17 +209,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     # 2. the matrix
     groups = classes.select("doc_id", "n").join(group, "doc_id", "left").join(part, "doc_id", "left").select("doc_id", "n", F.coalesce("gid", "doc_id").alias("gid"), F.coalesce("part", "doc_id").alias("part"))
-    blocks = groups.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("count"))
-    groups = cut(spread_join(groups, blocks.select("gid", "blocks"), ["gid"], hot_keys(blocks, ["gid"]), ["doc_id"]).select("doc_id", "n", "gid", "part", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))
+    large = cut(groups.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1"))
+    groups = groups.join(small(large, BROADCAST), "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    groups = cut(groups.select("doc_id", "n", "gid", "part", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))
     prefixes = texts.mapInArrow(_prefixes(k, num, den, tokens[order], counts[order]), "doc_id long, tokens array<long>")
     rows = prefixes.join(groups, "doc_id").select("doc_id", "n", "gid", "block", "part", F.explode("tokens").alias("token"))
     tokens_of_all = groups.agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1"))).first()[0] or 0
     met = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("count")).filter("low < high")
-    common = met.filter(F.col("count") > max(HOT_LEAST, HOT * tokens_of_all)).select("token")
+    common = met.filter(F.col("count") > max(HOT_LEAST, tokens_of_all / HOT)).select("token")  # HOT tokens at most
     rows = spread_join(rows, met.select("token"), ["token"], common, ["doc_id"], "left_semi").withColumn("band", _band(F.col("n"), num, den))
     rows = cut(rows.select("token", "doc_id", "n", "gid", "block", "part", "band"))
     matrix = rows.groupBy("token", F.col("gid").alias("g"), F.col("block").alias("gb")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("low"))
-    matrix = matrix.withColumn("band", F.explode(F.sequence(_band(F.col("least"), num, den) - 1, _band(F.col("most"), num, den) + 1)))
+    matrix = matrix.withColumn("band", F.explode(F.sequence(_band(F.col("least"), num, den, -1), _band(F.col("most"), num, den, 1))))
 
     # 3. blocks that a document may open
     opens = (
