@@ -92,8 +92,8 @@ def _templates(texts: DataFrame, examples: DataFrame) -> DataFrame:
     return of.select("leaf", "mh", F.array_compact(F.array(*each)).alias("general"))
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the remaining text in ``text``, and ``n_lines``, ``n_dropped`` added."""
+def drop_recurring_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the remaining text in ``text``, and the numbers of its lines and of those dropped added as ``names``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     lines = cut(_lines(texts))
     # no template of a leaf has more constant words than the leaf's lines have words
@@ -118,7 +118,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     gone = spread_join(lines.select("doc_id", "th", "pos", "tid"), recurring.drop("rows"), ["tid"], hot_keys(recurring, ["tid"], "rows"), ["doc_id", "th", "pos"])
     gone = gone.filter("doc_id <> f.doc_id or pos <> f.pos").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
-    keys = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    keys = [c for c in docs.columns if c.lower() not in names]
     inner = docs.select(F.struct(*(docs[c] for c in keys)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
     out = inner.join(gone, ["doc_id", "th"], "left").select("row", F.split("row.text", "\n").alias("ls"), "gone")
     # the runs of lines between those that go
@@ -127,6 +127,6 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     return edges.select(
         *(F.col(f"row.`{c}`").alias(c) if c != "text" else kept.alias("text") for c in keys),
-        F.when(F.col("row.text").isNull(), 0).otherwise(F.size("ls")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size("ls")).cast("long").alias(names[0]),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(names[1]),
     )
