@@ -32,7 +32,7 @@ from cadastra.session import ship
 SAMPLES, SHINGLE = 64, 5
 DRAWS = 1 << 16
 #: Bytes of text and rows of a range of doc_ids; most ranges; keys looked at for a range's bound.
-RANGE_BYTES, RANGE_ROWS, RANGES, LOOK = 32 << 20, 200_000, 20_000, 50
+RANGE_BYTES, RANGE_ROWS, RANGES, LOOK = 12 << 20, 100_000, 20_000, 60
 EMPTY = np.full(SAMPLES, 0xFFFF, np.uint16)
 _K = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 _ODD = _K | np.uint64(1)
@@ -205,11 +205,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ranged = texts.withColumn("bucket", _bucket(bounds)("first", "second")) if len(bounds) else texts.withColumn("bucket", F.lit(0))
     # the first row of every range goes to the range before it as well
     tops = ranged.groupBy("bucket").agg(F.min(F.struct("first", "second")).alias("t")).orderBy("bucket").collect()  # a row a range
-    above = spark.createDataFrame([(r["bucket"], r["t"]["first"], r["t"]["second"], tops[i - 1]["bucket"]) for i, r in enumerate(tops)], "bucket int, tfirst long, tsecond long, tail_of int")
+    above = spark.createDataFrame([(r["bucket"], i, r["t"]["first"], r["t"]["second"], (i - 1) % len(tops)) for i, r in enumerate(tops)], "bucket int, place int, tfirst long, tsecond long, tail_of int")
     tail = (F.col("first") == F.col("tfirst")) & (F.col("second") == F.col("tsecond"))
+    # every range is a partition; ``place`` numbers the ranges that have rows
     rows = ranged.join(F.broadcast(above), "bucket").select(
         "doc_id", "text", "first", "second",
-        F.explode(F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("tail")), F.when(tail, F.struct(F.col("tail_of").alias("bucket"), F.lit(1).alias("tail")))))).alias("p"),
-    ).select("p.bucket", "p.tail", "doc_id", "text", "first", "second")
-    rows = rows.repartition(max(len(tops), int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", "tail", "first", "second").select("bucket", "tail", "doc_id", "text")
+        F.explode(F.array_compact(F.array(F.struct(F.col("place"), F.lit(0).alias("tail")), F.when(tail, F.struct(F.col("tail_of").alias("place"), F.lit(1).alias("tail")))))).alias("p"),
+    ).select("p.place", "p.tail", "doc_id", "text", "first", "second")
+    rows = rows.repartitionById(max(1, len(tops)), "place").sortWithinPartitions("place", "tail", "first", "second").select("place", "tail", "doc_id", "text")
     return rows.mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
