@@ -96,7 +96,7 @@ def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT DISTINCT 'p_brand' AS list, trim(p_brand) AS value FROM part UNION ALL SELECT DISTINCT 'p_type', trim(p_type) FROM part UNION ALL SELECT DISTINCT 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_size > 20)
 SELECT list, value, CAST(row_number() OVER (PARTITION BY list ORDER BY value) AS INTEGER) AS place FROM v WHERE value <> ''""")
-def option_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def distinct_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size") > 20, F.col("p_size")))
     return L.options(p, ["p_brand", "p_type", "size"])
 
