@@ -36,8 +36,8 @@ from cadastra.session import ship
 EXAMPLES = 4_000
 WORDS, GRAMS, LONGEST = 20_000, 5_000, 5
 WORDS_FOR = 20
-#: Numbers in a worker's table of remembered words; keys counted before they are handed on; rows written at once.
-REMEMBERED, COUNTED, ROWS = 1_000_000, 60_000, 1_000
+#: Numbers in a worker's table of remembered words and in that of all keys; words counted before they are handed on; rows written at once.
+REMEMBERED, CELLS, COUNTED, ROWS = 1_000_000, 8_000_000, 60_000, 1_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
@@ -56,11 +56,23 @@ class Model:
     unseen: np.ndarray
 
     def scores(self, row: int, n: int) -> np.ndarray:
+        """Scores of a key in all languages."""
         out = self.unseen[n].copy()
         a, b = self.start[row], self.start[row + 1]
         out[self.where[a:b]] = self.value[a:b]
         return out
 
+    def table(self) -> np.ndarray | None:
+        """The scores of all keys, where these are at most ``CELLS`` numbers."""
+        rows = len(self.start) - 1
+        if rows * len(self.languages) > CELLS:
+            return None
+        level = np.zeros(rows, np.int64)
+        level[list(self.grams.values())] = list(map(len, self.grams))
+        out = self.unseen[level]
+        out[np.repeat(np.arange(rows), np.diff(self.start)), self.where] = self.value
+        return out
+
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
@@ -133,7 +145,7 @@ class Scores(dict):
     """Row in ``table`` of each word's scores, worked out when first asked for."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.all = model, model.table()
         self.clear()
 
     def clear(self) -> None:
@@ -146,11 +158,11 @@ class Scores(dict):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         model = self.model
         if (i := model.words.get(word)) is not None:
-            self.table[at] = model.scores(i, 0)
+            self.table[at] = model.scores(i, 0) if self.all is None else self.all[i]
         else:
             for n in range(LONGEST, 0, -1):
                 if rows := [i for g in grams(word, n) if (i := model.grams.get(g)) is not None]:
-                    self.table[at] = np.mean([model.scores(i, n) for i in rows], axis=0)
+                    self.table[at] = np.mean([model.scores(i, n) for i in rows], axis=0) if self.all is None else self.all[rows].sum(axis=0) / len(rows)
                     break
         self[word] = at
         return at
