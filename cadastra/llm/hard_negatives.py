@@ -146,6 +146,7 @@ def _positives(key: tuple, rows: pa.Table, anchors: pa.Table) -> pa.Table:
     out: list[tuple] = []
     if not (rows.num_rows and anchors.num_rows):
         return _rows(out, _POSITIVE)
+    anchors = _own_names(anchors)
     cell = _Cell(rows, anchors)
     of_label = {x: np.flatnonzero(cell.label == x) for x in np.unique(cell.label)}
     for i, (name, anchor_id, label) in enumerate(zip(*(anchors.column(c).to_pylist() for c in ("row", "vec_id", "label")), strict=True)):
@@ -167,6 +168,7 @@ def _negatives(key: tuple, rows: pa.Table, anchors: pa.Table) -> pa.Table:
     out: list[tuple] = []
     if not (rows.num_rows and anchors.num_rows):
         return _rows(out, _NEGATIVE)
+    anchors = _own_names(anchors)
     cell = _Cell(rows, anchors)
     other = {x: np.flatnonzero(cell.label != x) for x in set(anchors.column("label").to_pylist())}
     for i, (name, anchor_id, label, positives) in enumerate(zip(*(anchors.column(c).to_pylist() for c in ("row", "vec_id", "label", "positives")), strict=True)):
@@ -185,6 +187,10 @@ def _negatives(key: tuple, rows: pa.Table, anchors: pa.Table) -> pa.Table:
     return _rows(out, _NEGATIVE)
 
 
+def _own_names(anchors: pa.Table) -> pa.Table:
+    return anchors.rename_columns([c.removeprefix("of_") for c in anchors.column_names])
+
+
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
     fields = pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (c.split() for c in schema.split(", "))])
     columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
@@ -196,9 +202,8 @@ def _met(rows: DataFrame, anchors: DataFrame, kernel: Callable, schema: str, blo
     places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     left = rows.withColumn("rows_of", block(blocks[0])).withColumn("anchors_of", places(blocks[1]))
-    right = anchors.withColumn("anchors_of", block(blocks[1])).withColumn("rows_of", places(blocks[0]))
-    cell = ["rows_of", "anchors_of"]
-    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(kernel, schema)
+    right = anchors.select(*(F.col(c).alias(f"of_{c}") for c in anchors.columns), block(blocks[1]).alias("of_anchors")).withColumn("of_rows", places(blocks[0]))
+    return left.groupBy("rows_of", "anchors_of").cogroup(right.groupBy("of_rows", "of_anchors")).applyInArrow(kernel, schema)
 
 
 def hard_negatives(vectors: DataFrame, every: int = 100) -> DataFrame:
