@@ -19,6 +19,7 @@ class, so its version of Unicode holds.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,12 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cadastra.session import ship
 
 #: Bytes of text in a block, of which some twenty times as much is held, and bytes that are cut into words at a time.
-BLOCK, PART = 16 << 20, 1 << 20
+BLOCK, PART = 4 << 20, 1 << 20
 #: Buckets of distinct words for each partition of the documents.
 BUCKETS = 1
 TOKENS = "doc_id long, ids array<int>"
@@ -51,6 +51,7 @@ class Splitter:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -314,7 +315,7 @@ def _decoded(path: str) -> Callable:
             _pieces_of[path] = np.append(0, np.cumsum([*map(len, raw)])), np.frombuffer(b"".join(raw), np.uint8)
         starts, data = _pieces_of[path]
         unknown = len(starts) - 2
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             lists, texts = batch.column(1), []
             for i in range(len(lists)):
                 own = lists[i].values

@@ -12,8 +12,8 @@ meet the same value there (numbers may all have been changed, but alike). An ite
 The benchmark's windows are broadcast only if they are ``BROADCAST`` at most, and the ids of documents
 with a hit likewise; beyond that both are joined by a shuffle. Documents are read whole.
 
-Rows: a null or wordless text has no window. An item without a plain word is found only with its own
-values, as its template is anything.
+Rows: a null or wordless text has no window. A window of the benchmark without a plain word is found only
+with its own values, as its template is anything; a text of numbers alone, however long, so meets none.
 Rows without a doc_id or item_id are not reported; repeated rows are reported once. Extra columns are
 ignored.
 """
@@ -54,13 +54,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def windows(df: DataFrame, lengths: list[Column], *keep: str) -> DataFrame:
-    """``keep``, position and hash of each window of ``text``, of its template and of its plain words."""
+def windows(df: DataFrame, lengths: list[Column], *keep: str, worded: bool = False) -> DataFrame:
+    """``keep``, position and hash of each window of ``text``, of its template and of its plain words.
+
+    ``worded``: of the template only windows with a plain word; windows of its plain words stand for the others.
+    """
     df = df.select(*keep, valued(F.col("text")).alias("v"))  # no filter on it: that would work it out twice
     df = df.select(*keep, words(template(F.col("v"))).alias("w"), words(plain(F.col("v"))).alias("p"))
 
     def each(of: str, n: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        if worded and of == "w":
+            starts = F.filter(starts, lambda i: ~F.forall(F.slice("w", i, n), lambda w: w.isin(NAME, NUMBER, UNIT)))
         return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(of, i, n)).alias("window")))
 
     fits = lambda n: (F.size("w") > 0) & (F.size("w") >= n)
@@ -76,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_windows, share, same_values``: a row for each item found in a document."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = cut(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct())
-    grams = cut(windows(items, [F.least(F.size("w"), F.lit(WINDOW))], "item_id").withColumnRenamed("pos", "ipos").distinct())
+    grams = cut(windows(items, [F.least(F.size("w"), F.lit(WINDOW))], "item_id", worded=True).withColumnRenamed("pos", "ipos").distinct())
     lengths = items.select(F.least(F.size(words(valued(F.col("text")))), F.lit(WINDOW)).alias("n")).filter("n > 0").distinct().collect()  # WINDOW rows at most
     hits = cut(windows(docs, [F.lit(r["n"]) for r in lengths] or [F.lit(WINDOW)], "doc_id").join(_small(grams), "window").select("doc_id", "pos", "item_id", "ipos"))
 
@@ -84,11 +89,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = docs.join(_small(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", words(valued(F.col("text"))).alias("dw"))
     theirs = items.select("item_id", words(valued(F.col("text"))).alias("iw"))
     places = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
-    places = places.join(own, "doc_id").join(theirs, "item_id")
-    met = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, F.least(i + WINDOW, F.size("iw")) - 1))))
-    pairs = F.filter(F.transform(met, lambda k: F.struct(F.get("iw", k).alias("i"), plain(F.get("dw", k + F.col("shift"))).alias("d"))), lambda p: p["i"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
+    # a pair of document and item in one row: the words go along once, whatever number of places they have
+    pairs = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "at")).alias("places")).join(own, "doc_id").join(theirs, "item_id")
+    met = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, F.least(i + WINDOW, F.size("iw")) - 1))))
+    values = lambda p: F.array_distinct(F.filter(F.transform(met(p["at"]), lambda k: F.struct(F.get("iw", k).alias("i"), plain(F.get("dw", k + p["shift"])).alias("d"))), lambda v: v["i"].rlike(f"[{NAME}{NUMBER}{UNIT}]")))
     bare = F.forall("iw", lambda w: w.rlike(f"^[{NAME}{NUMBER}{UNIT}]"))
-    places = places.select("doc_id", "item_id", "at", bare.alias("bare"), F.array_distinct(pairs).alias("pairs"))
+    valued_places = F.transform("places", lambda p: F.struct(p["at"].alias("at"), values(p).alias("pairs")))
+    places = pairs.select("doc_id", "item_id", bare.alias("bare"), F.explode(valued_places).alias("p")).select("doc_id", "item_id", "bare", "p.*")
     places = places.withColumn("consistent", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
     places = places.withColumn("same", F.forall("pairs", lambda p: plain(p["i"]) == p["d"])).filter("consistent and (same or not bare)")
     found = places.select("doc_id", "item_id", "same", F.explode("at").alias("ipos")).groupBy("doc_id", "item_id").agg(F.count_distinct("ipos").alias("n_windows"), F.min("same").alias("same_values"))

@@ -48,8 +48,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     found = find_pii(table(spark, sf_dir, "documents"))
+    secret, four = F.filter("added", lambda s: s["kind"] == "secret"), F.filter("added", lambda s: s["kind"] != "secret")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", four)).alias("spans"), listed(secret).alias("secrets"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

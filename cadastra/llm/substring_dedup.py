@@ -16,7 +16,8 @@ super-k-mer, and only these travel:
 
 Windows are judged on the input. Null and wordless texts have no window and become empty; texts of
 fewer words than a window keep all. Rows without a doc_id keep all words and are compared with
-nothing; rows of one doc_id and equal text count as one. Other columns are ignored.
+nothing. Rows of one doc_id and equal text count as one; other texts of one doc_id are documents of their
+own, one after the other in order of a hash of the text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import cut, hot_keys, spread_join
+from cadastra.llm.common import cut, hot_keys, small, spread_join
 from cadastra.llm.textkit import Words, chunks, mix, powers
 from cadastra.session import ship
 
 WINDOW, M = 20, 6
 STRINGS = 5_000
+#: Bits of ``start`` below the number of a text among those of its doc_id.
+PLACE = 31
 _LOW = np.uint64(0xFFFFF)
 
 
@@ -68,32 +71,34 @@ def _super_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * power[: len(words)], dtype=np.uint64)])
             content = mix((total[start + n + WINDOW - 1] - total[start]) * inverse[start] + n.astype(np.uint64))
             row = np.searchsorted(words.of, start, "right") - 1
+            version = batch.column(2).slice(at, end - at).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(minimiser.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).slice(at, end - at).take(pa.array(row)), pa.array((start - words.of[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                [pa.array(minimiser.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).slice(at, end - at).take(pa.array(row)), pa.array(start - words.of[row] + (version[row] << PLACE)), pa.array(n.astype(np.int32))],
                 names=["minimiser", "content", "doc_id", "start", "n"],
             )
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, kmers) to one packed string a super-k-mer, or one a window where parts > 1."""
+    """Rows (doc_id, text, kmers, version) to one packed string a super-k-mer, or one a window where parts > 1."""
     names = ["minimiser", "part", "doc_id", "start", "words"]
     for batch in batches:
         for at, end, data, offsets in chunks(batch.column(1)):
             words, raw = Words(data, offsets, lower=False), data.tobytes()
             whole, _ = words.grams(WINDOW)
+            versions = batch.column(3).slice(at, end - at).to_pylist()
             ids, kmers = batch.column(0).slice(at, end - at).to_pylist(), batch.column(2).slice(at, end - at).to_pylist()
             rows: list[tuple] = []
             for i, own in enumerate(kmers):
                 of = words.of[i]
                 for k in own:
-                    a = of + k["start"]
+                    a = of + (k["start"] & ((1 << PLACE) - 1))
                     pieces = [(a, k["n"], 0)] if k["parts"] == 1 else [(a + j, 1, int(whole[a + j]) % k["parts"]) for j in range(k["n"])]
                     for b, n, part in pieces:
                         last = b + n + WINDOW - 1
-                        rows.append((k["minimiser"], part, ids[i], int(b - of), b" ".join([raw[s:e] for s, e in zip(words.start[b:last].tolist(), words.end[b:last].tolist(), strict=True)])))
+                        rows.append((k["minimiser"], part, ids[i], int(b - of) + (versions[i] << PLACE), b" ".join([raw[s:e] for s, e in zip(words.start[b:last].tolist(), words.end[b:last].tolist(), strict=True)])))
             for low in range(0, len(rows), 20_000):
                 part = list(zip(*rows[low : low + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     starts.append(start + j)
                 else:
                     seen.add(window)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array([1] * len(docs), pa.int32())], names=["doc_id", "start", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([1] * len(docs), pa.int32())], names=["doc_id", "start", "n"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +146,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(total), pa.array(total - np.diff(kept)), text], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _versions(texts: DataFrame) -> DataFrame:
+    """``texts`` with the number of each row's text among the different ones of its doc_id; nearly always 0."""
+    hashed = texts.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    several = cut(hashed.distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if several.isEmpty():
+        return texts.withColumn("version", F.lit(0).cast("long"))
+    order = Window.partitionBy("doc_id").orderBy("h")
+    numbers = cut(hashed.join(several, "doc_id", "left_semi").distinct().withColumn("version", F.row_number().over(order).cast("long") - 1).filter("version > 0"))
+    found = texts.withColumn("h", F.xxhash64("text")).join(small(numbers, 500_000), ["doc_id", "h"], "left")
+    return found.select("doc_id", "text", F.coalesce("version", F.lit(0).cast("long")).alias("version"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each text without the words of repeated windows."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = texts.filter("doc_id is not null").mapInArrow(_super_kmers, "minimiser long, content long, doc_id long, start int, n int")
+    texts = _versions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    runs = texts.filter("doc_id is not null").mapInArrow(_super_kmers, "minimiser long, content long, doc_id long, start long, n int")
     # four bytes of the minimiser are enough to set aside nearly all that stand alone
     runs = runs.withColumn("key", F.hash("minimiser"))
     several = cut(runs.groupBy("key").count().filter("count > 1"))
@@ -158,9 +175,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = copies.filter("doc_id <> d or start <> s").select("doc_id", "start", "n")
     mixed = firsts.groupBy("minimiser").count().filter("count > 1")
     travel = spread_join(firsts, mixed.select("minimiser", F.ceil(F.col("count") / STRINGS).alias("parts")), ["minimiser"], hot_keys(mixed, ["minimiser"]), ["content"])
-    travel = travel.groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "start", "n", "parts")).alias("kmers"))
-    packed = texts.join(travel, "doc_id").select("doc_id", "text", "kmers").mapInArrow(_packed, "minimiser long, part long, doc_id long, start int, words binary")
-    windows = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start int, n int")
+    version, place = F.shiftright("start", PLACE), F.col("start").bitwiseAND((1 << PLACE) - 1).cast("int")
+    travel = travel.groupBy("doc_id", version.alias("version")).agg(F.collect_list(F.struct("minimiser", "start", "n", "parts")).alias("kmers"))
+    packed = texts.join(travel, ["doc_id", "version"]).select("doc_id", "text", "kmers", "version").mapInArrow(_packed, "minimiser long, part long, doc_id long, start long, words binary")
+    windows = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start long, n int")
 
-    repeats = copies.unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
-    return texts.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+    repeats = copies.unionByName(windows).groupBy("doc_id", version.alias("version")).agg(F.collect_list(F.struct(place.alias("start"), "n")).alias("repeats"))
+    return texts.join(repeats, ["doc_id", "version"], "left").select("doc_id", "text", "repeats").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
