@@ -103,12 +103,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows met before in their bucket; rows come in order of bucket, doc_id and start."""
-    bucket, seen = None, set()
+    bucket, seen, last = None, set(), None
     for batch in batches:
         docs, starts = [], []
         for minimiser, part, doc, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (minimiser, part) != bucket:
-                bucket, seen = (minimiser, part), set()
+                bucket, seen, last = (minimiser, part), set(), None
+            if last == (doc, start):  # of a repeated row
+                continue
+            last = doc, start
             gaps = [-1, *[i for i, x in enumerate(words) if x == 32], len(words)]
             for j in range(len(gaps) - WINDOW):
                 window = words[gaps[j] + 1 : gaps[j + WINDOW]]
