@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import geometry as G
 from cadastra.functions.scalar import filled
+from cadastra.sources.collections import scan_elements
 
 _GEOMETRY = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
 _POINTS = "array<array<double>>"
@@ -18,18 +19,20 @@ def _points(line: Column) -> Column:
     return F.transform(line, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 
-def read_geometries(spark: SparkSession, path: str, properties: str, name: Sequence[str] = ("nome", "name", "Name", "NOME")) -> DataFrame:
+def read_geometries(spark: SparkSession, path: str, properties: str, name: Sequence[str] = ("nome", "name", "Name", "NOME"), split: int | None = None) -> DataFrame:
     """One row a simple geometry of a FeatureCollection or a Feature, with the fields of ``properties`` (a struct type).
 
     A GeometryCollection gives a row for each of its geometries, a MultiPolygon all its ``polygons`` in one.
     ``name`` is the first filled of the given properties. Columns ``kind``, ``point``, ``line`` and
     ``polygons`` (each an array of rings) hold the geometry, NULL for other kinds; a feature without one is
-    left out.
+    left out. With ``split`` a FeatureCollection, a file or a folder of its parts, is read in ranges of so many
+    bytes, one a task; without it a file is one task's.
     """
     schema = f"type string, id string, properties {properties}, geometry {_GEOMETRY}, features array<struct<id:string,properties:{properties},geometry:{_GEOMETRY}>>"
-    read = spark.read.schema(schema).json(path, multiLine=True)
+    read = spark.createDataFrame([], schema) if split else spark.read.schema(schema).json(path, multiLine=True)
     each = F.when(F.col("type") == "FeatureCollection", F.col("features")).when(F.col("type") == "Feature", F.array(F.struct("id", "properties", "geometry")))
-    rows = read.select(F.explode(each).alias("f")).filter("f.geometry is not null")
+    rows = read.select(F.explode(each).alias("f")) if split is None else scan_elements(spark, path, "features", split).select(F.from_json("element", f"struct<id:string,properties:{properties},geometry:{_GEOMETRY}>").alias("f"))
+    rows = rows.filter("f.geometry is not null")
     simple = F.when(F.col("f.geometry.type") == "GeometryCollection", F.col("f.geometry.geometries")).otherwise(F.array(F.struct(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))))
     rows = rows.select("f", F.explode(simple).alias("g"))
     of = lambda kind, shape: F.when(F.col("g.type") == kind, F.from_json("g.coordinates", shape))
@@ -58,37 +61,40 @@ def polygons_area_km2(polygons: Column) -> Column:
     return F.aggregate(F.transform(polygons, G.polygon_area_km2), F.lit(0.0), lambda s, a: s + a)
 
 
-def read_regions(spark: SparkSession, path: str, number: str, code: str, name: str, area: str) -> DataFrame:
+def read_regions(spark: SparkSession, path: str, number: str, code: str, name: str, area: str, split: int | None = None) -> DataFrame:
     """``number, code, name, area, polygons, box`` of every region; a feature that is no polygon or has a bad number fails."""
     properties = f"struct<{','.join(f'{c}:string' for c in dict.fromkeys((number, code, name, area)))}>"
-    rows = read_geometries(spark, path, properties, ())
+    rows = read_geometries(spark, path, properties, (), split)
     n = F.col(number).try_cast("double").cast("int")
     shown = F.concat(F.lit("region without a polygon or a number: "), F.coalesce(F.col(number), F.lit("null")), F.lit(" "), F.coalesce("kind", F.lit("null")))
     good = F.when(F.col("kind").isin("Polygon", "MultiPolygon") & n.isNotNull(), n).otherwise(F.raise_error(shown).cast("int"))
     return rows.select(good.alias("number"), F.coalesce(code, F.lit("")).alias("code"), F.coalesce(name, F.lit("")).alias("name"), F.col(area).try_cast("double").alias("area"), "polygons", polygons_box(F.col("polygons")).alias("box"))
 
 
-def read_grid(spark: SparkSession, path: str, roles: Mapping[str, str]) -> DataFrame:
+def read_grid(spark: SparkSession, path: str, roles: Mapping[str, str], split: int | None = None) -> DataFrame:
     """Cells of one edition: ``cell_id, parent_1km, pop, dom_ocu, suppressed, polygons`` by the columns of its ``roles``.
 
     A declared column that no feature has is an error that names what was found. A count that is there
     but can't be read, such as ``X``, is suppressed: NULL, and the cell is marked.
     """
-    keys = spark.read.schema("features array<struct<properties:map<string,string>>>").json(path, multiLine=True).select(F.explode("features").alias("f")).select(F.explode(F.map_keys("f.properties")).alias("k")).distinct()
+    shape = "struct<properties:map<string,string>>"
+    each = scan_elements(spark, path, "features", split).select(F.from_json("element", shape).alias("f")) if split else spark.read.schema(f"features array<{shape}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
+    keys = each.select(F.explode(F.map_keys("f.properties")).alias("k")).distinct()
     found = sorted(r["k"] for r in keys.collect())  # names of columns
     if found and (missing := sorted(set(roles.values()) - set(found))):
         raise ValueError(f"missing columns {missing}; found {found}")
-    rows = read_geometries(spark, path, f"struct<{','.join(f'`{c}`:string' for c in dict.fromkeys(roles.values()))}>", ())
+    rows = read_geometries(spark, path, f"struct<{','.join(f'`{c}`:string' for c in dict.fromkeys(roles.values()))}>", (), split)
     text = lambda role: filled(F.col(f"`{roles[role]}`"))
     count = lambda role: F.when(text(role).try_cast("double") >= 0, F.rint(text(role).try_cast("double")).cast("long"))
     hidden = lambda role: text(role).isNotNull() & count(role).isNull()
     return rows.select(text("cell_id").alias("cell_id"), text("parent_1km").alias("parent_1km"), count("pop").alias("pop"), count("dom_ocu").alias("dom_ocu"), (hidden("pop") | hidden("dom_ocu")).alias("suppressed"), "polygons")
 
 
-def read_roads(spark: SparkSession, path: str) -> DataFrame:
+def read_roads(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     """``u, v, key, osmid, name, highway, oneway, length_m, coords`` of a graph's edges; an absent length follows from the coordinates."""
     edge = f"struct<u:string,v:string,key:int,osmid:array<long>,name:string,highway:string,oneway:boolean,length_m:double,coords:{_POINTS}>"
-    rows = spark.read.schema(f"edges array<{edge}>").json(path, multiLine=True).select(F.explode("edges").alias("e")).select("e.*")
+    each = scan_elements(spark, path, "edges", split).select(F.from_json("element", edge).alias("e")) if split else spark.read.schema(f"edges array<{edge}>").json(path, multiLine=True).select(F.explode("edges").alias("e"))
+    rows = each.select("e.*")
     rows = rows.withColumn("coords", _points(F.col("coords")))
     return rows.select(
         "u", "v", F.coalesce("key", F.lit(0)).alias("key"), F.coalesce("osmid", F.array().cast("array<bigint>")).alias("osmid"), "name", F.coalesce("highway", F.lit("unclassified")).alias("highway"), F.coalesce("oneway", F.lit(False)).alias("oneway"),
