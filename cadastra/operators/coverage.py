@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.scalar import ratio
+from cadastra.operators.selection import with_percentiles
 from cadastra.session import cut
 
 
@@ -37,8 +38,8 @@ def monthly(listings: DataFrame, keys: Sequence[str], month: str, price: str, so
     p = F.when(active, F.col(price))
     now = listings.groupBy(*keys, month).agg(
         F.count("*").alias("n"), F.count_if(active).alias("active"), F.count_distinct(source).alias("sources"),
-        *(F.percentile(p, q).alias(a) for q, a in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))),
     )
+    now = cut(with_percentiles(now, listings, [*keys, month], p, (0.25, 0.5, 0.75), ("p25", "median", "p75")))
     before = now.select(*keys, F.add_months(month, 1).cast("date").alias(month), F.col("median").alias("median_before"), F.col("active").alias("active_before"))
     out = now.join(before, [*keys, month], "left")
     return out.withColumn("median_change", ratio(F.col("median") - F.col("median_before"), F.col("median_before"))).withColumn("active_change", ratio(F.col("active") - F.col("active_before"), F.col("active_before")))

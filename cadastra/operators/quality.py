@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.scalar import blank, filled
+from cadastra.operators import selection
 
 
 @dataclass(frozen=True)
@@ -147,15 +148,14 @@ def credential_scan(df: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def paginated(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """A 1-based page; one beyond the end is the last."""
-    last = max(1, -(-df.count() // size))
-    return df.orderBy(*order).offset((min(max(1, page), last) - 1) * size).limit(size)
+    """A 1-based page; one beyond the end is the last. Only the ranges of the order that the page lies in are sorted."""
+    return selection.page(df, order, page, size)
 
 
 def mixed_order(column: str, ident: str) -> list[Column]:
     """Numbers as numbers before texts, blanks last, ties by id."""
     c = F.col(column)
-    return [F.when(blank(c), 2).when(c.try_cast("double").isNotNull(), 0).otherwise(1), c.try_cast("double").asc_nulls_last(), F.lower(c), F.col(ident)]
+    return [F.when(blank(c), 2).when(c.try_cast("double").isNotNull(), 0).otherwise(1), c.try_cast("double"), F.lower(c), F.col(ident)]
 
 
 def due(df: DataFrame, today: Column, checked: str, status: str, source_active: Column, position: str) -> DataFrame:

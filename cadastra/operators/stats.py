@@ -11,31 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.functions.scalar import ratio
-
-
-def percentiles(value: Column, at: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """Exact percentiles, interpolated, as columns."""
-    return [F.percentile(value, p).alias(n) for p, n in zip(at, names, strict=True)]
+from cadastra.operators.selection import group_ranks, with_percentiles
 
 
 def comparables(df: DataFrame, keys: Sequence[str], value: str, active: Column, seen: Column, today: Column, recent_days: int = 90) -> DataFrame:
     """Size of the sample, how many have a value, are active and recent, and five points of the values."""
-    return df.groupBy(*keys).agg(
+    base = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count(value).alias("n_value"), F.count_if(active).alias("n_active"), F.count_if(F.datediff(today, seen).between(0, recent_days)).alias("n_recent"),
-        F.min(value).alias("least"), *percentiles(F.col(value), (0.25, 0.5, 0.75), ("p25", "median", "p75")), F.max(value).alias("most"),
+        F.min(value).alias("least"), F.max(value).alias("most"),
     )
+    return with_percentiles(base, df, keys, F.col(value), (0.25, 0.5, 0.75), ("p25", "median", "p75"))
 
 
 def suppressed(df: DataFrame, keys: Sequence[str], value: str, for_median: int = 5, for_quartiles: int = 10) -> DataFrame:
     """Median and quartiles where the sample is large enough, and the reason where it isn't."""
-    n = F.count(value)
-    return df.groupBy(*keys).agg(
-        n.alias("n"),
-        F.when(n >= for_median, F.percentile(value, 0.5)).alias("median"),
-        F.when(n >= for_quartiles, F.percentile(value, 0.25)).alias("p25"),
-        F.when(n >= for_quartiles, F.percentile(value, 0.75)).alias("p75"),
+    found = with_percentiles(df.groupBy(*keys).agg(F.count(value).alias("n")), df, keys, F.col(value), (0.25, 0.5, 0.75), ("p25", "median", "p75"))
+    n = F.col("n")
+    return found.select(
+        *keys, "n", F.when(n >= for_median, F.col("median")).alias("median"), F.when(n >= for_quartiles, F.col("p25")).alias("p25"), F.when(n >= for_quartiles, F.col("p75")).alias("p75"),
         F.when(n < for_median, "few_for_median").when(n < for_quartiles, "few_for_quartiles").alias("reason"),
-    )
+    )
 
 
 def midrank(df: DataFrame, value: str) -> DataFrame:
@@ -79,10 +74,8 @@ def quantile_breaks(df: DataFrame, value: str, classes: int) -> list[float]:
 
 def ranked(df: DataFrame, value: str, *peers: str) -> DataFrame:
     """Place (1 + number greater), number ranked and gap to the median among peers; NULLs have no place."""
-    has = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*peers).orderBy(F.desc(value))
-    stats = has.groupBy(*peers).agg(F.count("*").alias("of"), F.percentile(value, 0.5).alias("median"))
-    return has.withColumn("place", F.rank().over(w)).join(stats, list(peers)).withColumn("gap", F.col(value) - F.col("median"))
+    placed = group_ranks(df, peers, value).withColumn("place", (F.col("of") - F.col("below") - F.col("same") + 1).cast("int")).drop("below", "same")
+    return with_percentiles(placed, df, peers, F.col(value), (0.5,), ("median",)).withColumn("gap", F.col(value) - F.col("median"))
 
 
 def top_two(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.functions import geometry as G
+from cadastra.operators.quadtree import assign_by_density
 from cadastra.operators.spatial import assign_regions, boxes_meeting, hulls, simplified
 from cadastra.registry import dealt, query, table
 
@@ -35,6 +36,16 @@ def pip_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_regions(points(spark, sf_dir), regions(spark, sf_dir), "c_custkey").select("c_custkey", "region_no")
 
 
+@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 6 THEN 1.3 ELSE (o_orderkey % 797) * 0.007::DOUBLE END AS lon, CASE WHEN o_orderkey % 10 < 6 THEN 2.7 ELSE (o_orderkey % 613) * 0.009::DOUBLE END AS lat FROM orders)
+SELECT o_orderkey, CAST(min(n_nationkey) AS INTEGER) AS region_no FROM p LEFT JOIN nation ON lon BETWEEN n_nationkey % 5 AND n_nationkey % 5 + 1 AND lat BETWEEN n_nationkey // 5 AND n_nationkey // 5 + 1 GROUP BY o_orderkey""")
+def pip_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for every order, six in ten of them at one place, against regions met by tiles of bounded counts."""
+    k = F.col("o_orderkey")
+    lon, lat = F.when(k % 10 < 6, 1.3).otherwise((k % 797) * 0.007), F.when(k % 10 < 6, 2.7).otherwise((k % 613) * 0.009)
+    at = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(lon.alias("lon"), lat.alias("lat")).alias("point"))
+    return assign_by_density(at, regions(spark, sf_dir), "o_orderkey", bound=2_000).select("o_orderkey", "region_no")
+
+
 @query("""WITH b AS (SELECT s_suppkey, (s_suppkey % 17) * 0.3::DOUBLE AS w, (s_suppkey % 13) * 0.4::DOUBLE AS s FROM supplier)
 SELECT s_suppkey, n_nationkey AS region_no FROM b JOIN nation ON w <= n_nationkey % 5 + 1 AND n_nationkey % 5 <= w + 0.5 AND s <= n_nationkey // 5 + 1 AND n_nationkey // 5 <= s + 0.5""")
 def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.scalar import class_index, ratio
 from cadastra.operators import stats as S
+from cadastra.operators.selection import with_percentiles
 from cadastra.registry import query, table
 
 M2 = "CASE WHEN p_partkey % 8 <> 0 THEN round(p_retailprice / p_size, 4) END"
@@ -51,7 +52,7 @@ def class_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, round(p_retailprice / median - 1, 6) AS position, n, round(greatest(0, least(1, (p_retailprice - p25) / (p75 - p25))), 6) AS ruler FROM part JOIN m USING (p_brand)""")
 def rank_vs_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    m = p.groupBy("p_brand").agg(*S.percentiles(F.col("p_retailprice"), (0.25, 0.5, 0.75), ("p25", "median", "p75")), F.count("*").alias("n"))
+    m = with_percentiles(p.groupBy("p_brand").agg(F.count("*").alias("n")), p, ["p_brand"], F.col("p_retailprice"), (0.25, 0.5, 0.75), ("p25", "median", "p75"))
     v = F.col("p_retailprice")
     return p.join(m, "p_brand").select("p_partkey", F.round(ratio(v, F.col("median")) - 1, 6).alias("position"), "n", F.round(S.ruler(v, F.round("p25", 6), F.round("p75", 6)), 6).alias("ruler"))
 
@@ -93,3 +94,21 @@ def cumulative_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_sum_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("l_partkey") % 10 != 0, F.col("l_quantity"))
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), S.strict_sum(v).alias("strict"), F.sum(v).alias("lenient"), (F.count("*") - F.count(v)).alias("missing"))
+
+
+@query("""WITH g AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN 0 WHEN l_orderkey % 20 = 0 THEN NULL ELSE 1 + l_suppkey % 7 END AS grp, CASE WHEN l_linenumber < 7 THEN l_extendedprice END AS v FROM lineitem)
+SELECT grp, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90 FROM g GROUP BY 1""")
+def skewed_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles where one group holds nine tenths of all rows, another has no key."""
+    k = F.col("l_orderkey")
+    grp = F.when(k % 10 != 0, 0).when(k % 20 == 0, None).otherwise(1 + F.col("l_suppkey") % 7)
+    rows = table(spark, sf_dir, "lineitem").select(grp.alias("grp"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice")).alias("v"))
+    found = with_percentiles(rows.groupBy("grp").agg(F.count("*").alias("n")), rows, ["grp"], F.col("v"), (0.1, 0.5, 0.9), ("p10", "median", "p90"), rows=5_000)
+    return found.select(F.col("grp").cast("long").alias("grp"), *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90")))
+
+
+@query("""SELECT p_partkey, CAST(rank() OVER (ORDER BY p_retailprice DESC) AS INTEGER) AS place, count(*) OVER () AS of_n, round(p_retailprice - quantile_cont(p_retailprice, 0.5) OVER (), 6) AS gap FROM part""")
+def global_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every part among all of them, in ranges of the price."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("v"))
+    return S.ranked(p, "v").select("p_partkey", "place", F.col("of").alias("of_n"), F.round("gap", 6).alias("gap"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.operators import survey as S
+from cadastra.operators.selection import with_percentiles
 from cadastra.registry import query, table
 
 
@@ -92,7 +93,11 @@ def locality_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median value by locality and type, and a median point that prefers centroids."""
     k = F.col("c_custkey")
     lat = k % 100 / 10.0
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("loc"), F.col("c_mktsegment").alias("kind")).agg(F.count("*").alias("n"), F.round(F.percentile("c_acctbal", 0.5), 4).alias("median"), F.round(F.coalesce(F.percentile(F.when(k % 5 == 0, lat), 0.5), F.percentile(lat, 0.5)), 4).alias("lat"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("loc"), F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("v"), lat.alias("lat"), F.when(k % 5 == 0, lat).alias("centroid"))
+    keys, out = ["loc", "kind"], c.groupBy("loc", "kind").agg(F.count("*").alias("n"))
+    for name in ("v", "lat", "centroid"):
+        out = with_percentiles(out, c, keys, F.col(name), (0.5,), (f"mid_{name}",))
+    return out.select(*keys, "n", F.round("mid_v", 4).alias("median"), F.round(F.coalesce("mid_centroid", "mid_lat"), 4).alias("lat"))
 
 
 @query("""SELECT c_nationkey % 5 AS grp, c_mktsegment AS type, count(*) AS n, min(c_custkey) AS sample, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer GROUP BY 1, 2""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators import lifecycle, web
+from cadastra.operators.selection import with_percentiles
 from cadastra.registry import query, table
 
 _TEXT = r"""trim(regexp_replace(strip_accents(lower(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
@@ -63,7 +64,8 @@ def candidate_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     cand = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 50).alias("area"), F.col("c_nationkey").alias("loc"), F.when(k % 13 == 0, "rent").otherwise("sale").alias("deal"))
     m2 = F.try_divide("price", "area")
-    ref = cand.filter("area > 0").groupBy("loc").agg(F.percentile(m2, 0.5).alias("median"), F.count("*").alias("n"))
+    sold = cand.filter("area > 0")
+    ref = with_percentiles(sold.groupBy("loc").agg(F.count("*").alias("n")), sold, ["loc"], m2, (0.5,), ("median",))
     rate = F.try_divide(m2, F.col("median"))
     out = web.gates(cand.join(ref, "loc", "left"), {"price": F.col("price") < 20000, "area": F.col("area") <= 0, "deal": F.col("deal") != "sale"}, {"outlier": (F.col("n") >= 3) & ((rate > 3) | (rate < 1 / 3))})
     return out.select("o_orderkey", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"), "decision")
