@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cadastra.functions.scalar import filled, slug
+from cadastra.functions.scalar import filled, let, slug
 
 #: Stages of sale by what a status says, in order.
 STAGES = (("em_lancamento", "lancamento"), ("em_construcao", "em_obra|em_obras|construcao|em_construcao|inicio_de_obras"), ("oferta", "oferta|pronto|estoque|entregue"))
@@ -16,11 +16,11 @@ SEGMENTS = (
     ("saude", "hospital", "hospital"), ("saude", "laboratorio", "laboratorio"), ("saude", "clinica", "clinica"),
     ("mobilidade", "metro", "estacao_metro"), ("mobilidade", "trem", "estacao_trem"), ("mobilidade", "rodovi", "terminal_rodoviario"), ("mobilidade", "aeroporto", "aeroporto"), ("mobilidade", "onibus", "ponto_onibus"),
 )
-#: Property types by what a path or title says, in order.
-TYPES = (
-    ("casa_condominio", r"casa[-_ ]+(em[-_ ]+)?(de[-_ ]+)?condominio|condominio[-_ ]+fechado"), ("kitnet", "kitnet|kitinete|quitinete"), ("terreno", r"terreno|(^|[-_ /])lote([-_ /]|$)"),
-    ("predio", r"(^|[-_ /])predio([-_ /]|$)"), ("apartamento", r"apartamento|cobertura|(^|[-_ /])flat([-_ /]|$)"), ("casa", r"(^|[-_ /])casas?([-_ /]|$)"),
-)
+#: Property types by what a path or title says, in order; parts of words, whole words, or runs of words.
+CLOSED = ("casa condominio", "condominio fechado")
+PART_OF = {"kitnet": ("kitnet", "kitinete", "quitinete"), "terreno": ("terreno",), "apartamento": ("apartamento", "cobertura")}
+WHOLE = {"terreno": ("lote",), "predio": ("predio",), "apartamento": ("flat",), "casa": ("casa", "casas")}
+ROOMS = ("quarto", "quartos", "qt", "qts", "dormitorio", "dormitorios")
 #: Words that stay small inside a name.
 SMALL = ("de", "da", "do", "das", "dos", "e")
 
@@ -53,16 +53,44 @@ def anchor_segment(category: Column, subcategory: Column, name: Column, given: C
     return found if given is None else F.coalesce(filled(given), found)
 
 
+def _words(text: Column) -> Column:
+    """Words of a path or title, without accents."""
+    return F.filter(F.split(slug(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def property_type(text: Column) -> Column:
     """Property type by the first hint in a path or title."""
-    s = F.replace(slug(text), F.lit("_"), F.lit("-"))
-    return _first([(s.rlike(p), name) for name, p in TYPES])
+
+    def of(words: Column) -> Column:
+        run = F.array_join(F.filter(words, lambda w: ~w.isin("em", "de")), " ")
+        closed = F.lit(False)
+        for phrase in CLOSED:
+            closed = closed | run.contains(phrase)
+        hints = [(closed, "casa_condominio")]
+        for name in ("kitnet", "terreno", "predio", "apartamento", "casa"):
+            part = _holds(words, PART_OF.get(name, ()))
+            hints.append((part | F.arrays_overlap(words, F.array(*map(F.lit, WHOLE[name]))) if name in WHOLE else part, name))
+        return _first(hints)
+
+    return let(_words(text), of)
+
+
+def _holds(words: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a word has one of the parts in it."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.exists(words, lambda w: w.contains(p))  # noqa: B023
+    return out
 
 
 def bedrooms(url: Column) -> Column:
-    """Number of bedrooms that a path names."""
-    s = F.replace(slug(url), F.lit("_"), F.lit("-"))
-    return F.nullif(F.regexp_extract(s, r"(?:^|[-_/])(\d{1,2})[-_](?:quartos?|qts?|dormitorios?)(?:[-_/.]|$)", 1), F.lit("")).cast("int")
+    """Number of bedrooms that a path names: a number of one or two digits with a word for rooms right after it."""
+
+    def of(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda n, w: F.struct(n.alias("n"), w.alias("w")))
+        return F.get(F.filter(pairs, lambda p: p["n"].rlike("^[0-9]{1,2}$") & p["w"].isin(*ROOMS)), 0)["n"].cast("int")
+
+    return let(_words(url), of)
 
 
 def title(name: Column) -> Column:

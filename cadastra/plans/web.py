@@ -34,14 +34,21 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.links(table(spark, sf_dir, "pages"), "page_id", "url", "html", "^[Tt]").drop("host")
 
 
-@query("""SELECT page_id, 100.0 + page_id AS price, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS candidates FROM pages""")
+@query(r"""WITH h AS (SELECT page_id, length(html) AS size, len(regexp_extract_all(html, '(?i)<a\s')) AS anchors, page_id % 4 AS kind FROM pages),
+p AS (SELECT page_id, kind, 1000.0 + size AS own, 10.0 + anchors AS other FROM h)
+SELECT page_id, CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS candidates, CAST(CASE kind WHEN 0 THEN own WHEN 1 THEN other WHEN 3 THEN own END AS DOUBLE) AS price FROM p""")
 def page_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured data is written into each page here, as the given pages hold none."""
-    block = lambda i, p: F.concat(F.lit('<script type="application/ld+json">{"sku":"'), i, F.lit('","offers":{"price":'), p.cast("string"), F.lit("}}</script>"))
-    k = F.col("page_id")
-    own = block(F.when(k % 2 == 0, k.cast("string")).otherwise("other"), 100.0 + k)
-    html = F.concat("html", own, F.when(k % 2 == 0, block(F.lit("other"), F.lit(1.0))).otherwise(""))
-    pages = table(spark, sf_dir, "pages").select("page_id", k.cast("string").alias("listing"), html.alias("html"))
+    """Structured data is written into each page here, as the given pages hold none: prices of the page's size and number of anchors,
+    in the state of an application at some depth under the listing's id, in linked data, twice without the id, or in a meta tag alone."""
+    k, text = F.col("page_id"), F.col("page_id").cast("string")
+    own, other = 1000.0 + F.char_length("html"), 10.0 + F.regexp_count("html", F.lit(r"(?i)<a\s"))
+    script = lambda kind, *parts: F.concat(F.lit(f'<script type="{kind}">'), *(p if not isinstance(p, str) else F.lit(p) for p in parts), F.lit("</script>"))
+    deep = script("application/json", '{"props":{"pageProps":[{"x":null},{"listing":{"id":"', text, '","deal":{"sale":{"price":', own.cast("string"), '}}}}],"ads":[{"id":"other","price":"', other.cast("string"), '"}]}}')
+    linked = script("application/ld+json", '{"sku":"other","offers":[{"lowPrice":', other.cast("string"), "}]}")
+    twice = script("application/ld+json", '[{"sku":"a","price":', own.cast("string"), '},{"sku":"b","offers":{"price":', other.cast("string"), "}}]")
+    meta = F.concat(F.lit('{not json</script><meta content="'), own.cast("string"), F.lit('" property="product:price:amount"/>'))
+    html = F.concat("html", F.when(k % 4 == 0, deep).when(k % 4 == 1, linked).when(k % 4 == 2, twice).otherwise(meta))
+    pages = table(spark, sf_dir, "pages").select("page_id", text.alias("listing"), html.alias("html"))
     return web.structured(pages, "page_id", "html", "listing")
 
 

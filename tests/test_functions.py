@@ -85,3 +85,36 @@ def test_first_filled_and_titles(spark: SparkSession) -> None:
 def test_hidden_elements_are_not_seen(spark: SparkSession) -> None:
     html = """<p>a</p><div class="x d-none">b</div><span hidden>c</span><i style="color:red; display: none">d</i><b aria-hidden="true">e</b><p class="not-hidden">f</p>"""
     assert spark.createDataFrame([(html,)], "h string").select(W.visible_text(F.col("h"))).first()[0] == "a f"
+
+
+def test_hidden_elements_at_any_depth(spark: SparkSession) -> None:
+    from cadastra.operators.web import visible_text
+
+    cases = {
+        "<div hidden><div>a</div><div>b</div></div>c": "c",
+        "x<div><p style='Display : None'>a<p>b</p>c</p>d</div>e": "x d e",
+        '<section class="big d-none"><div><div><div>deep</div></div></div><section>in</section>still</section>out': "out",
+        '<span aria-hidden="true">a</span><span aria-hidden="false">b</span><span class="hidden-xs">c</span>': "b c",
+        "<img hidden src='a'>shown<br hidden/>too": "shown too",
+        "<div hidden>a<img>b<br/>c</div>d": "d",
+        "a<div hidden>never closed <b>x</b>": "a",
+        "<div data-x='display:none' title=hidden>kept</div>": "kept",
+        "</div hidden>odd<DIV HIDDEN>x</DIV>y": "odd y",
+        "caf&#233; &#xE9;t&#xe9; &#0; &#55296; &#128512; &lt;b&gt; &amp;": "cafe ete &#0; &#55296; \U0001f600 <b> &",
+        "plain": "plain", "": "",
+    }
+    df = spark.createDataFrame(list(cases.items()), "html string, want string")
+    for r in df.select("html", "want", visible_text(F.col("html")).alias("got")).collect():
+        assert r.got == r.want, r.html
+
+
+def test_types_and_rooms_by_words(spark: SparkSession) -> None:
+    from cadastra.functions.vocabulary import bedrooms, property_type
+
+    cases = [
+        ("/imovel/casa-em-condominio-fechado/3-quartos-x", "casa_condominio", 3), ("/venda/lote-urbano", "terreno", None), ("/piloto/terrenos", "terreno", None), ("/apartamento-2-qts/", "apartamento", 2),
+        ("/flat/10-dormitorios", "apartamento", 10), ("/casas/100-quartos", "casa", None), ("/casarao/4quartos", None, None), ("/Prédio-inteiro", "predio", None), ("/kitinete", "kitnet", None), ("", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame(cases, "url string, kind string, rooms int")
+    for r in df.select("url", "kind", "rooms", property_type(F.col("url")).alias("k"), bedrooms(F.col("url")).alias("n")).collect():
+        assert (r.k, r.n) == (r.kind, r.rooms), r.url
