@@ -84,9 +84,31 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("listing"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), outcome.alias("outcome"), F.round(F.col("value") * 100, 0).alias("price"))
 
 
-@query()
+#: The fold of a listing's checks, one check a step.
+FOLD = """WITH RECURSIVE c AS (
+  SELECT user_id AS listing, ts AS moment, CASE WHEN event_type IN ('error', 'view') THEN 'gone' WHEN event_type IN ('purchase', 'click') THEN 'ok' ELSE 'blocked' END AS outcome, round(value * 100, 0) AS price,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), seen AS (
+  SELECT c.*, outcome = 'ok' AS ok, outcome = 'gone' AS gone, CAST(moment AS DATE) AS d FROM c
+), fold(listing, i, status, failures, price, last, day, deactivated, reactivated, price_change, price_unconfirmed) AS (
+  SELECT DISTINCT listing, CAST(0 AS BIGINT), 'active', 0, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS DATE), 0, 0, 0, 0 FROM c
+  UNION ALL
+  SELECT listing, i, CASE WHEN down THEN 'inactive' WHEN up THEN 'active' ELSE status END, failures, CASE WHEN (ok AND old IS NULL) OR taken THEN new ELSE old END, outcome, d,
+         deactivated + down::INT, reactivated + up::INT, price_change + taken::INT, price_unconfirmed + (moved AND NOT taken)::INT
+  FROM (SELECT *, gone AND status <> 'inactive' AND failures >= 3 AS down, ok AND status = 'inactive' AS up, moved AND abs(new - old) / old <= 0.6 AS taken
+    FROM (SELECT n.listing, n.i, n.ok, n.gone, n.outcome, n.d, n.price AS new, f.price AS old, f.status, f.deactivated, f.reactivated, f.price_change, f.price_unconfirmed,
+        CASE WHEN n.ok THEN 0 WHEN n.gone AND NOT coalesce(f.last = 'gone' AND f.day = n.d, FALSE) THEN f.failures + 1 ELSE f.failures END AS failures,
+        n.ok AND coalesce(f.price > 0 AND abs(n.price - f.price) >= 1, FALSE) AS moved
+      FROM fold f JOIN seen n ON n.listing = f.listing AND n.i = f.i + 1))
+), done AS (
+  SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY listing ORDER BY i DESC) = 1
+)"""
+EVENT_KINDS = ("deactivated", "reactivated", "price_change", "price_unconfirmed")
+
+
+@query(f"{FOLD} SELECT listing, status, failures, price, deactivated, reactivated, price_change, price_unconfirmed FROM done")
 def listing_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of every listing after all its checks (a fold with memory; tested against a plain loop)."""
+    """State of every listing after all its checks."""
     out = lifecycle.fold(checks(spark, sf_dir), "listing")
     count = lambda e: F.size(F.filter("events", lambda x: x["event"] == e)).alias(e)
     return out.select("listing", "status", "failures", "price", *map(count, ("deactivated", "reactivated", "price_change", "price_unconfirmed")))

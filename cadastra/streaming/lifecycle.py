@@ -1,4 +1,8 @@
-"""The life cycle of listings as a stream: one small state a listing, events as output."""
+"""The life cycle of listings as a stream: one small state a listing, events as output.
+
+Checks may arrive in any order within the watermark's delay: each waits in its listing's state until the
+watermark has passed it, and timers at the checks' own times fold them in order.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +10,104 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from cadastra.operators.lifecycle import CONFIRMATIONS, MOST_CHANGE
+from cadastra.session import ship
 
 EVENTS = "listing long, at timestamp, event string, price double"
 STATE = "status string, failures int, price double, last string, day string"
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, failures, price, last, day = state.get if state.exists else ("active", 0, None, None, None)
-    rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_START = ("active", 0, None, None, None)
+
+
+def folded(state: tuple, checks: Iterator[tuple]) -> tuple[tuple, list[tuple]]:
+    """State and events after ``checks`` (at, outcome, price) in order."""
+    status, failures, price, last, day = state
     out = []
-    for r in rows.itertuples(index=False):
-        today, new = str(r.at.date()), None if pd.isna(r.price) else float(r.price)
-        if r.outcome == "ok":
+    for at, outcome, given in checks:
+        today, new = str(at.date()), None if pd.isna(given) else float(given)
+        if outcome == "ok":
             failures = 0
             if status == "inactive":
                 status = "active"
-                out.append((r.at, "reactivated", new))
+                out.append((at, "reactivated", new))
             if price is None:
                 price = new
             elif new is not None and price > 0 and abs(new - price) >= 1:
                 taken = abs(new - price) / price <= MOST_CHANGE
-                out.append((r.at, "price_change" if taken else "price_unconfirmed", new))
+                out.append((at, "price_change" if taken else "price_unconfirmed", new))
                 price = new if taken else price
-        elif r.outcome == "gone":
+        elif outcome == "gone":
             failures += not (last == "gone" and day == today)
             if status != "inactive" and failures >= CONFIRMATIONS:
                 status = "inactive"
-                out.append((r.at, "deactivated", new))
-        last, day = r.outcome, today
-    state.update((status, int(failures), price, last, day))
-    yield pd.DataFrame([(key[0], *e) for e in out], columns=["listing", "at", "event", "price"])
+                out.append((at, "deactivated", new))
+        last, day = outcome, today
+    return (status, int(failures), price, last, day), out
+
+
+def _events(listing: int, events: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(listing, *e) for e in events], columns=["listing", "at", "event", "price"])
+
+
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+    after, out = folded(state.get if state.exists else _START, ((r.at, r.outcome, r.price) for r in rows.itertuples(index=False)))
+    state.update(after)
+    yield _events(key[0], out)
+
+
+class Lifecycle(StatefulProcessor):
+    """Checks wait until the watermark has passed them; then they are folded in order of time and number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, seq long, outcome string, price double")
+        self.known = handle.getValueState("known", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        timers = set()
+        for batch in rows:
+            taken = [(int(r.us), int(r.seq), r.outcome, None if pd.isna(r.price) else float(r.price)) for r in batch.itertuples(index=False)]
+            self.waiting.appendList(taken)
+            timers |= {us // 1000 + 1 for us, *_ in taken}
+        for at in sorted(timers):
+            self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in held if r[0] < until], [r for r in held if r[0] >= until]
+        if due:
+            before = tuple(self.known.get()) if self.known.exists() else _START
+            after, out = folded(before, ((pd.Timestamp(us * 1000), outcome, price) for us, _, outcome, price in due))
+            self.known.update(after)
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            if out:
+                yield _events(key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_unordered(checks: DataFrame, delay: str) -> DataFrame:
+    """Events of ``checks(listing, at, seq, outcome, price)`` that arrive in any order, up to ``delay`` late.
+
+    A check that comes later than that is dropped by the watermark, and checks that no later time has followed
+    still wait. The session's state store must be RocksDB (``STORE``).
+    """
+    ship(checks.sparkSession)
+    rows = checks.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
+    return rows.groupBy("listing").transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
 
 
 def lifecycle_events(checks: DataFrame) -> DataFrame:
