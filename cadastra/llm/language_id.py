@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadastra.llm.textkit import give_back
 from cadastra.session import ship
 
 EXAMPLES = 4_000
@@ -105,6 +106,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(map(len, words.values())) > COUNTED:
                 yield from counts()
     yield from counts()
+    words.clear()
+    give_back()
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -183,12 +186,14 @@ class Scores(dict):
 
 def _judged(model: object, at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model.value)
+        scores: Scores | None = Scores(model.value)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 part = batch.slice(low, ROWS)
                 found = [scores.judge(t.as_py()) for t in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[str(i) for i in range(batch.num_columns + 2)])
+        scores = None
+        give_back()
 
     return run
 
