@@ -85,25 +85,26 @@ def flag_or_null(text: Column) -> Column:
 
 def calendar_date(text: Column) -> Column:
     """ISO, ``Date(y,m0,d)``, dd/mm/yyyy or a sheet serial; NULL unless the day exists."""
-    return let(F.struct(F.trim(text).alias("s"), number(text).alias("n")), lambda x: _date(x["s"], x["n"]))
-
-
-def _date(s: Column, n: Column) -> Column:
+    s = F.trim(text)
     parts = [F.regexp_extract(s, r"^Date\((\d+),(\d+),(\d+)", i).try_cast("int") for i in (1, 2, 3)]
+    serial = lambda n: F.when((n > 20000) & (n < 80000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int")))
     return (
         F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
         .when(s.rlike(r"^Date\(\d+,\d+,\d+"), F.try_to_date(F.format_string("%04d-%02d-%02d", parts[0], parts[1] + 1, parts[2]), "yyyy-MM-dd"))
         .when(s.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(s, "dd/MM/yyyy"))
-        .when((n > 20000) & (n < 80000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int")))
+        .when(s.rlike(r"^[0-9][0-9.,]*$"), let(number(s), serial))
     )
 
 
 def month_key(text: Column) -> Column:
     """``yyyy-MM`` of an ISO date or month, ``Date(y,m0..)`` or mm/yyyy; NULL for a month that isn't."""
     s = F.trim(text)
-    year = F.coalesce(F.nullif(F.regexp_extract(s, r"^(\d{4})-\d{2}", 1), F.lit("")), F.nullif(F.regexp_extract(s, r"^Date\((\d{4}),", 1), F.lit("")), F.nullif(F.regexp_extract(s, r"^\d{1,2}/(\d{4})$", 1), F.lit("")))
-    month = F.coalesce(F.regexp_extract(s, r"^\d{4}-(\d{2})", 1).try_cast("int"), F.regexp_extract(s, r"^Date\(\d{4},(\d+)", 1).try_cast("int") + 1, F.regexp_extract(s, r"^(\d{1,2})/\d{4}$", 1).try_cast("int"))
-    return F.when(month.between(1, 12), F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
+    of = lambda year, month: F.when(month.between(1, 12), F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
+    return (
+        F.when(s.rlike(r"^\d{4}-\d{2}"), of(F.substring(s, 1, 4), F.substring(s, 6, 2).try_cast("int")))
+        .when(s.rlike(r"^Date\(\d{4},\d"), of(F.substring(s, 6, 4), F.regexp_extract(s, r"^Date\(\d{4},(\d+)", 1).try_cast("int") + 1))
+        .when(s.rlike(r"^\d{1,2}/\d{4}$"), of(F.substring(s, -4, 4), F.substring_index(s, "/", 1).try_cast("int")))
+    )
 
 
 def coordinate(lat: Column, lon: Column) -> Column:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadastra.functions.scalar import blank, month_key, number, ratio
-from cadastra.operators.quality import Rule, missing_references, rule_findings
+from cadastra.operators.quality import Rule, rule_findings
 
 #: Vocabularies of the price index and of the regional rates, and the first months of their parts.
 SEGMENTS, DEALS, AREAS = ("RESIDENCIAL", "COMERCIAL"), ("VENDA", "LOCACAO"), ("DF_TOTAL", "LOCALIDADE")
@@ -31,6 +32,13 @@ def profile_findings(df: DataFrame, ident: str, income: str, shares: Sequence[st
     return rule_findings(df, ident, rules)
 
 
+def first_lines(df: DataFrame, keyed: Column, *key: str) -> DataFrame:
+    """``df`` with ``_first``, the first ``line`` of the rows with the same key; rows without one are keys of their own."""
+    marked = df.withColumn("_keyed", F.coalesce(keyed, F.lit(False)))
+    apart = F.when(~F.col("_keyed"), F.xxhash64("line", "id"))
+    return marked.withColumn("_first", F.when(F.col("_keyed"), F.min("line").over(Window.partitionBy("_keyed", apart, *key)))).drop("_keyed")
+
+
 def index_findings(df: DataFrame, sources: DataFrame, notes: DataFrame, regions: DataFrame, localities: DataFrame) -> DataFrame:
     """Findings of a monthly price index.
 
@@ -39,7 +47,8 @@ def index_findings(df: DataFrame, sources: DataFrame, notes: DataFrame, regions:
     line of the first; history that can't be; and months without a row of the whole area's main series,
     which have the month as ``ident``.
     """
-    month = F.coalesce(month_key("month"), F.lit(""))
+    month = F.col("_month")
+    df = df.withColumn("_month", F.coalesce(month_key("month"), F.lit("")))
     local = F.col("area") == "LOCALIDADE"
     rules = [
         Rule("invalid_month", "error", month == ""), Rule("invalid_segment", "error", ~F.coalesce(F.col("segment").isin(*SEGMENTS), F.lit(False))),
@@ -48,17 +57,18 @@ def index_findings(df: DataFrame, sources: DataFrame, notes: DataFrame, regions:
         Rule("early_commercial", "warning", (F.col("segment") == "COMERCIAL") & (month != "") & (month < FIRST_COMMERCIAL)),
         Rule("early_locality", "warning", local & (month != "") & (month < FIRST_LOCALITY)),
     ]
-    found = rule_findings(df, "id", rules)
-    severe = lambda rows, severity: rows.withColumn("severity", F.lit(severity))
-    source = df.withColumn("source", F.coalesce("source", F.lit("")))
-    found = found.union(severe(missing_references(source, "id", {"missing_source": ("source", sources, "id")}), "error"))
-    found = found.union(severe(missing_references(df.filter(~blank(F.col("note"))), "id", {"missing_note": ("note", notes, "id")}), "warning"))
-    of_locality = df.filter(local)
-    found = found.union(severe(missing_references(of_locality.withColumn("region", F.coalesce("region", F.lit(""))), "id", {"region_not_mapped": ("region", regions, "id")}), "error"))
-    found = found.union(severe(missing_references(of_locality.filter(~blank(F.col("locality"))), "id", {"locality_not_mapped": ("locality", localities, "id")}), "warning"))
-    keyed = df.filter(month != "").withColumn("key", F.concat_ws("|", month, *(F.coalesce(c, F.lit("")) for c in ("segment", "deal", "area", "locality"))))
-    first = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = found.union(keyed.join(first, "key").filter("line > first").select("id", F.lit("repeated_observation"), F.lit("error")))
+    # what the references hold comes to each row by a join on its own; one pass then tells all findings
+    rows = df.withColumns({"_source": F.coalesce("source", F.lit("")), "_region": F.coalesce("region", F.lit(""))})
+    for name, of, on in (("sources", sources, "_source"), ("notes", notes, "note"), ("regions", regions, "_region"), ("localities", localities, "locality")):
+        known = of.select(F.col("id").alias(on)).distinct().withColumn(f"_in_{name}", F.lit(True))
+        rows = rows.join(known, on, "left")
+    absent = lambda name: F.col(f"_in_{name}").isNull()
+    rules += [
+        Rule("missing_source", "error", absent("sources")), Rule("missing_note", "warning", ~blank(F.col("note")) & absent("notes")),
+        Rule("region_not_mapped", "error", F.coalesce(local, F.lit(False)) & absent("regions")), Rule("locality_not_mapped", "warning", F.coalesce(local, F.lit(False)) & ~blank(F.col("locality")) & absent("localities")),
+        Rule("repeated_observation", "error", F.coalesce(F.col("line") > F.col("_first"), F.lit(False))),
+    ]
+    found = rule_findings(first_lines(rows, month != "", "_month", "segment", "deal", "area", "locality"), "id", rules)
     main = df.filter((month != "") & (F.col("area") == "DF_TOTAL") & (F.col("segment") == "RESIDENCIAL") & (F.col("deal") == "VENDA")).select(month.alias("m")).distinct()
     ends = main.agg(F.min("m").alias("a"), F.max("m").alias("b"))
     spine = ends.select(F.explode(F.sequence(F.to_date("a", "yyyy-MM"), F.to_date("b", "yyyy-MM"), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("m"))
@@ -75,7 +85,7 @@ def row_count_findings(counts: DataFrame, expected: dict[str, int]) -> DataFrame
 def rate_findings(df: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Findings of monthly regional rates ``id, line, month, region, band, offered, sold, published, alias``."""
     whole = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) != F.floor(c)), F.lit(False))
-    month = F.coalesce(month_key("month"), F.lit(""))
+    month = F.col("_month")
     apart = lambda a, b: F.coalesce(F.abs(a - b) > tolerance, F.lit(False))
     again = F.when(F.col("offered") > 0, 100 * ratio(F.col("sold").cast("double"), F.col("offered")))
     rules = [
@@ -84,9 +94,9 @@ def rate_findings(df: DataFrame, tolerance: float = 0.05) -> DataFrame:
         Rule("scale", "error", F.coalesce(~F.col("published").between(0, 100), F.lit(False))),
         Rule("alias_mismatch", "warning", apart(F.col("published"), F.col("alias"))), Rule("rate_mismatch", "warning", apart(again, F.col("published"))),
     ]
-    keyed = df.filter(~blank(F.col("region")) & ~blank(F.col("band")) & (month != "")).withColumn("key", F.concat_ws("|", month, "region", "band"))
-    first = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return rule_findings(df, "id", rules).union(keyed.join(first, "key").filter("line > first").select("id", F.lit("repeated"), F.lit("error")))
+    keyed = ~blank(F.col("region")) & ~blank(F.col("band")) & (month != "")
+    rows = first_lines(df.withColumn("_month", F.coalesce(month_key("month"), F.lit(""))), keyed, "_month", "region", "band")
+    return rule_findings(rows, "id", [*rules, Rule("repeated", "error", F.coalesce(F.col("line") > F.col("_first"), F.lit(False)))])
 
 
 def routine_findings(listings: DataFrame, history: DataFrame, today: Column, days: int = 30) -> DataFrame:
