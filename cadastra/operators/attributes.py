@@ -68,8 +68,10 @@ def deflated(panel: DataFrame, rates: DataFrame, series: str, year: str, value:
 
     own = rates.filter(F.col("rate").isNotNull() & (F.col("rate") > -1)).groupBy(series, year).agg(F.max("rate").alias("rate"))
     named = own.select(series, year, F.log1p("rate").alias("g"), F.lit(1).alias("k"))
-    bases = named.select(series).distinct().join(named.filter(F.col(year) == base).select(series, F.lit(True).alias("has")), series, "left").filter("has is null")
-    named = named.unionByName(bases.select(series, F.lit(base).cast(named.schema[year].dataType).alias(year), F.lit(0.0).alias("g"), F.lit(0).alias("k")))
+    # the base and the panel's own years have an index without a rate of their own
+    empty = [F.lit(0.0).alias("g"), F.lit(0).alias("k")]
+    based = named.select(series).distinct().select(series, F.lit(base).cast(named.schema[year].dataType).alias(year), *empty)
+    named = named.unionByName(based).unionByName(panel.select(series, year, *empty).distinct()).groupBy(series, year).agg(F.sum("g").alias("g"), F.sum("k").alias("k"))
     upto = Window.partitionBy(series).orderBy(year).rowsBetween(Window.unboundedPreceding, 0)
     run = named.select(series, year, F.sum("g").over(upto).alias("g"), F.sum("k").over(upto).alias("k"))
     at_base = run.filter(F.col(year) == base).select(series, F.col("g").alias("g0"), F.col("k").alias("k0"))
