@@ -9,9 +9,10 @@ words, ``WORDS_FOR`` at most (a calibration, as words of a text aren't independe
 rests on every word).
 
 The model is learned from at most about ``EXAMPLES`` labelled texts of each language, taken by a 64-bit
-hash of doc_id and text; these bounds are its parameters. Of each language it keeps the ``WORDS`` most
-frequent words and the ``GRAMS`` most frequent n-grams of each length, so its size follows the number of
-languages only. Every language with a labelled text is learned.
+hash of the text, so that ids change nothing and equal texts are all examples or none; this bound is its
+parameter. A word or n-gram is known if it makes up 1 / ``RARE`` of the words, or of the n-grams of its
+length, of some language's examples; no rank cuts keys off, and as shares add up to one, a language has at
+most ``RARE`` keys a length. Every language with a labelled text is learned.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; so is any text if nothing was
 learned. Ties go to the first language by name. Repeated rows get a row each, rows without a doc_id
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ from cadastra.llm.textkit import give_back
 from cadastra.session import ship
 
 EXAMPLES = 4_000
-WORDS, GRAMS, LONGEST = 20_000, 5_000, 5
+RARE, LONGEST = 200_000, 5
 WORDS_FOR = 20
 #: Numbers in a worker's table of remembered words and in that of all keys; words counted before they are handed on; rows written at once.
 REMEMBERED, CELLS, COUNTED, ROWS = 1_000_000, 8_000_000, 60_000, 1_000
@@ -111,23 +112,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from ``doc_id, text, lang`` of rows whose lang isn't null."""
+    """Learn from ``text, lang`` of rows whose lang isn't null."""
     spark = ship(labelled.sparkSession)
-    labelled = labelled.filter("lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.filter("lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return Model((), {}, {}, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((LONGEST + 1, 0), np.float32))
     # a row is an example if its hash, a number from -2^63 on, is below its language's bound
     bounds = spark.createDataFrame([(lang, min(2**63 - 1, int(min(1.0, EXAMPLES / n) * 2**64) - 2**63)) for lang, n in sizes.items()], "lang string, bound long")
-    some = labelled.join(F.broadcast(bounds), "lang").filter(F.xxhash64("doc_id", "text") <= F.col("bound"))
+    some = labelled.join(F.broadcast(bounds), "lang").filter(F.xxhash64("text") <= F.col("bound"))
     counts = some.select("lang", "text").mapInArrow(_counted, "lang string, n int, key string, count long").groupBy("n", "lang", "key").agg(F.sum("count").alias("count")).persist()
     totals = {(r["n"], r["lang"]): r["s"] for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("s")).collect()}  # LONGEST + 1 rows a language
-    rank = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("count"), "key"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("n", "key").distinct()
+    least = spark.createDataFrame([(n, lang, -(-total // RARE)) for (n, lang), total in totals.items()], "n int, lang string, least long")
+    known = counts.join(F.broadcast(least), ["n", "lang"]).filter("count >= least").select("n", "key").distinct()
     languages = tuple(sorted(sizes))
     place = {lang: i for i, lang in enumerate(languages)}
-    # at most (WORDS + LONGEST * GRAMS) keys a language
-    kept = counts.join(top, ["n", "key"]).select("n", "key", "lang", "count").toArrow()
+    # at most (LONGEST + 1) * RARE keys a language
+    kept = counts.join(known, ["n", "key"]).select("n", "key", "lang", "count").toArrow()
     counts.unpersist()
     n, key, lang = (kept.column(i).to_pylist() for i in range(3))
     order = sorted(range(len(key)), key=lambda i: (n[i], key[i], lang[i]))
