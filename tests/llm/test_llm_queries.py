@@ -36,6 +36,9 @@ TYPES = {
     "op8_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op9_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
     "op10_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op11_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
+    "op12_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op13_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
 
@@ -60,6 +63,10 @@ def save(spark: SparkSession, folder: Path, documents: DataFrame) -> str:
     empty = documents.limit(1).count() == 0
     spark.createDataFrame([] if empty else pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([] if empty else [(1, "If Bob walks 80 km in 3 hours and rests for a day, where does Bob sleep at night?"), (None, "x"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    talks = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, None, None, None)]
+    spark.createDataFrame([] if empty else talks, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    vectors = [(100, [1.0, 1.0], 1), (101, [1.0, 1.0], 1), (102, [0.5, 0.5], 2), (103, None, 2), (104, [None, 1.0], 1), (105, [1.0, 1.0], None)]
+    spark.createDataFrame([] if empty else vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -80,6 +87,13 @@ def test_query(spark: SparkSession, folder: str, nothing: str, name: str) -> Non
     assert TYPES[name].items() <= dict(found.dtypes).items()
     assert len({c.lower() for c in found.columns}) == len(found.columns)
     rows = found.collect()
+    if name == "op11_prefix_trie":
+        assert [(r["conv_id"], r["parent_conv_id"], r["n_convs"]) for r in rows if r["depth"] == 0] == [(1, None, 2)]
+    if name == "op12_hard_negatives":
+        assert [tuple(r[c] for c in TYPES[name]) for r in rows] == [(100, 101, 1, 102, 131072, 65536)]
+    if name in ("op11_prefix_trie", "op12_hard_negatives"):  # no documents
+        assert QUERIES[name](spark, nothing).count() == 0
+        return
     ids = Counter(r["doc_id"] for r in rows) if name != "op2_url_filter" else Counter(r["page_id"] for r in rows)
     documents = sentences()
     if name == "op2_url_filter":
