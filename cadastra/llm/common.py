@@ -14,6 +14,8 @@ from cadastra.session import cut, shared_folder
 HOT, HOT_LEAST = 10_000, 200
 #: Places that a hot key's rows are dealt to.
 SALTS = 64
+#: Labels that have a smaller label themselves may be broadcast up to this many.
+LABELS = 200_000
 
 
 __all__ = ["components", "cut", "hot_keys", "shared_folder", "small", "spread_join", "table", "total_of"]
@@ -64,11 +66,12 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in ``links(a, b)``: columns ``v, component``.
 
     Each round takes the smallest label among the neighbours and then follows the label's own label,
-    until no label changes. Both joins are of two shuffled tables and feed a shuffle or a checkpoint, so
-    that adaptive execution deals out the links of a hub and the members of a large component, which share
-    a label; minima are made partly before the shuffle.
+    until no label changes. The links of a hub are dealt out; the labels that have a smaller one
+    themselves are broadcast while they are few, and else the members of a large component, which share a
+    label, are dealt out too. Minima are made partly before the shuffle.
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    hubs = hot_keys(edges.groupBy("b").count(), ["b"])
     now = cut(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
     before = None
     while True:
@@ -76,7 +79,11 @@ def components(links: DataFrame) -> DataFrame:
         if total is None or total == before:
             return now.withColumnRenamed("l", "component")
         before = total
-        low = edges.join(now.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = cut(now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l")))
-        up = step.select(F.col("v").alias("l"), F.col("l").alias("up"))
-        now = cut(step.join(up, "l").select("v", F.col("up").alias("l")))
+        low = spread_join(edges, now.withColumnRenamed("v", "b"), ["b"], hubs, ["a"]).groupBy("a").agg(F.min("l").alias("m"))
+        now = cut(now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l")))
+        labels = now.groupBy("l").count()
+        up = cut(labels.join(now.select(F.col("v").alias("l"), F.col("l").alias("up")), "l").filter("up < l"))
+        if up.count() > LABELS:
+            now = cut(spread_join(now, up.select("l", "up"), ["l"], hot_keys(up, ["l"]), ["v"], "left").select("v", F.coalesce("up", "l").alias("l")))
+        else:  # the next round reads the join as it is
+            now = now.join(F.broadcast(up.select("l", "up")), "l", "left").select("v", F.coalesce("up", "l").alias("l"))

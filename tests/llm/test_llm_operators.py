@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadastra.llm import decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, packing, pii, sharding, substring_dedup, url_filter
+from cadastra.llm import common, decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, packing, pii, sharding, substring_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that a careless join or schema would clash with.
@@ -79,6 +79,19 @@ def test_components_by_all_pairs(docs: DataFrame, k: int, num: int) -> None:
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_a_hub_a_path_and_loops(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, few: int) -> None:
+    """``few``: labels that may be broadcast; with none, those of many members are dealt out."""
+    monkeypatch.setattr(common, "LABELS", few)
+    hub = [(5_000, i) for i in range(1_000, 1_300)]
+    path = [(i, i + 1) for i in range(60, 20, -1)]
+    links = [*hub, *path, *path[:5], (7, 7), (900, 1_299), (2_000, 2_001)]
+    got = {r["v"]: r["component"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {i: 900 for i in (900, 5_000, *range(1_000, 1_300))} | {i: 21 for i in range(21, 62)} | {2_000: 2_000, 2_001: 2_000}
+    assert got == want
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize(("num", "sizes"), [(85, (18, 17, 20)), (80, None)])
 def test_demanded_tokens_never_exceed_need(spark: SparkSession, num: int, sizes: tuple | None) -> None:
     ranges = [sizes] if sizes else [(n, a, b) for n in range(1, 41) for a in range(-(-num * n // 100), n + 1) for b in range(a, 100 * n // num + 1)]
