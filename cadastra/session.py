@@ -25,9 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of the session."""
+    """Cut the lineage with a checkpoint in the shared folder of the session.
+
+    Shuffles and broadcasts leave the executors only once the driver's JVM has collected what stood for
+    them, which a driver with little to do may never do by itself, so this asks for it.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    whole = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return whole
 
 
 def ship(spark: SparkSession) -> SparkSession:
