@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadastra.functions.scalar import ratio
+from cadastra.functions.scalar import canonical_url, ratio, slug
 
 
 def editions(old: DataFrame, new: DataFrame, key: str, values: Sequence[str], names: tuple[str, str]) -> DataFrame:
@@ -81,6 +81,23 @@ def match_existing(incoming: DataFrame, row: str, candidates: Sequence[str], exi
     return incoming.join(hit, row, "left")
 
 
+def known_listings(incoming: DataFrame, row: str, existing: DataFrame, ident: str) -> DataFrame:
+    """``row, existing, matched_by`` of the incoming listings that are known already; of several the smallest ``ident``.
+
+    Both sides have ``portal, token, url``. The token of the same portal (compared as slugs, so that case
+    and accents don't count) comes first, then the address without query and fragment. A blank token and an
+    address that isn't http(s) match nothing. The keys are hashed before the existing ones are grouped, so
+    long addresses don't travel.
+    """
+    token = F.trim(F.coalesce("token", F.lit("")))
+    named = F.when((token != "") & (slug(F.col("portal")) != ""), F.sha2(F.concat_ws("|", F.lit("token"), slug(F.col("portal")), token), 256))
+    address = F.when(canonical_url(F.col("url")).isNotNull(), F.sha2(F.concat_ws("|", F.lit("address"), canonical_url(F.col("url"))), 256))
+    keys = lambda df, c: df.select(c, F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("order"), named.alias("key")), F.struct(F.lit(1).alias("order"), address.alias("key"))))).alias("k")).select(c, "k.*").filter("key is not null")
+    known = keys(existing, ident).groupBy("key").agg(F.min(ident).alias("existing"))
+    found = keys(incoming, row).join(known, "key").groupBy(row).agg(F.min(F.struct("order", "existing")).alias("hit"))
+    return found.select(row, F.col("hit.existing").alias("existing"), F.when(F.col("hit.order") == 0, "token").otherwise("address").alias("matched_by"))
+
+
 def dominant(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
     """The value seen most often with a key; ties go to the one seen first."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))

@@ -101,6 +101,21 @@ def match_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.match_existing(o, "o_orderkey", ["a", "b"], table(spark, sf_dir, "customer").select("c_custkey", name(F.col("c_custkey")).alias("key")), "key", "c_custkey").select("o_orderkey", "existing")
 
 
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*?([^./?#]+[.][^./?#]+)(?:[/?#]|$)', 1) AS portal, regexp_replace(url, '[?#].*$', '') AS address FROM pages),
+old AS (SELECT page_id AS known, portal, CASE WHEN page_id % 3 <> 0 THEN 'x' || (page_id // 4) END AS token, address FROM p WHERE page_id % 2 = 0),
+hits AS (SELECT n.page_id, o.known AS existing, 0 AS rank FROM p n JOIN old o ON o.portal = n.portal AND o.token = 'x' || (n.page_id // 2) WHERE n.page_id % 5 <> 0
+  UNION ALL SELECT n.page_id, o.known, 1 FROM p n JOIN old o ON o.address = n.address WHERE n.page_id % 7 <> 0)
+SELECT page_id, existing, CASE rank WHEN 0 THEN 'token' ELSE 'address' END AS matched_by FROM hits QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, existing) = 1""")
+def known_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against those of even id: by portal (written otherwise) and token, then by address with another query."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    site = F.regexp_extract("url", "://[^/?#]*?([^./?#]+[.][^./?#]+)(?:[/?#]|$)", 1)
+    token = lambda by: F.concat(F.lit("x"), F.floor(k / by))
+    old = p.filter(k % 2 == 0).select("page_id", site.alias("portal"), F.when(k % 3 != 0, token(4)).alias("token"), "url")
+    new = p.select("page_id", F.concat(F.lit(" "), F.upper(site)).alias("portal"), F.when(k % 5 != 0, token(2)).otherwise(" ").alias("token"), F.when(k % 7 != 0, F.concat("url", F.lit("?from=list"))).otherwise("ftp://none").alias("url"))
+    return J.known_listings(new, "page_id", old, "page_id")
+
+
 @query("""WITH n AS (SELECT l_suppkey, l_returnflag, count(*) AS n, min(l_orderkey) AS f FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, l_returnflag FROM n QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f, l_returnflag DESC) = 1""")
 def dominant_value(spark: SparkSession, sf_dir: str) -> DataFrame:

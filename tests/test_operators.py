@@ -224,3 +224,19 @@ def test_files_in_a_box_and_the_median(spark: SparkSession) -> None:
     assert filters.files_in_box(bounds, (0.0, 0.0, 1.5, 1.5)) == ["a", "c"]
     for values, want in (([3.0, 1.0, 2.0, 2.0], 2.0), ([1.0, 4.0], 2.5), ([7.0], 7.0), ([], None)):
         assert filters.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()[0] == want
+
+
+def test_known_listings_by_token_then_address(spark: SparkSession) -> None:
+    columns = "id long, portal string, token string, url string"
+    old = spark.createDataFrame([(1, "Imóveis DF", "A1", "https://x.br/a?p=1"), (2, "imoveis-df", "A1", None), (3, "outro", "", "HTTPS://X.br/b"), (4, "outro", None, "nowhere"), (5, "", "A1", "https://x.br/B#top")], columns)
+    new = spark.createDataFrame([
+        (10, "IMÓVEIS DF", " A1 ", "https://x.br/b"),  # the token comes first; of two the smaller id
+        (11, "imoveis df", "a1", "https://x.br/b?utm=2#z"),  # tokens keep their case
+        (12, "outro", "", "nowhere"),  # blank token, no address
+        (13, "", "A1", "https://X.br/B"),  # no portal, paths keep their case
+        (14, None, None, None),
+        (15, "outro", "A1", "ftp://x.br/b"),
+    ], columns)
+    got = {r["id"]: (r["existing"], r["matched_by"]) for r in joins.known_listings(new, "id", old, "id").collect()}
+    assert got == {10: (1, "token"), 11: (3, "address"), 13: (5, "address")}
+    assert joins.known_listings(new, "id", old.limit(0), "id").count() == 0
