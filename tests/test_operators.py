@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import filters, graph, joins, lifecycle, period, quality, spatial, stats, survey
+from cadastra.operators import filters, graph, joins, lifecycle, period, quality, rollup, spatial, stats, survey
 from cadastra.operators.period import Metric
 from cadastra.sources import files
 from cadastra.streaming.lifecycle import lifecycle_events
@@ -240,3 +240,18 @@ def test_known_listings_by_token_then_address(spark: SparkSession) -> None:
     got = {r["id"]: (r["existing"], r["matched_by"]) for r in joins.known_listings(new, "id", old, "id").collect()}
     assert got == {10: (1, "token"), 11: (3, "address"), 13: (5, "address")}
     assert joins.known_listings(new, "id", old.limit(0), "id").count() == 0
+
+
+def test_edition_totals_count_each_place_once_an_edition(spark: SparkSession) -> None:
+    columns = "region string, quality_flags array<string>, dom_2010 long, dom_2022 long, pop_2010 long, pop_2022 long"
+    detail = spark.createDataFrame([("RA_01", None, None, 7, None, 20), ("RA_01", ["partial_children"], 3, 4, 9, 12), (None, [], 2, 2, 5, 5)], columns)
+    overview = spark.createDataFrame([
+        ("RA_01", [], 10, 99, 30, 990, 0, 4, 4),  # whole in 2010 only
+        ("RA_01", [], 50, 50, 50, 50, None, None, 2),  # subdivided in both
+        ("", None, None, 5, None, 6, None, None, None),  # no count of children: whole in both
+    ], columns + ", children_2010 long, children_2022 long, children long")
+    got = {r["region"]: r.asDict() for r in rollup.edition_totals(detail, overview, "region", ("2010", "2022")).collect()}
+    assert got == {
+        "RA_01": {"region": "RA_01", "households_2010": 13, "households_2022": 11, "pop_2010": 39, "pop_2022": 32, "cells_2010": 2, "cells_2022": 2, "cells_partial": 2, "households_delta": -2, "households_growth": -0.1538},
+        "SEM_RA": {"region": "SEM_RA", "households_2010": 2, "households_2022": 7, "pop_2010": 5, "pop_2022": 11, "cells_2010": 1, "cells_2022": 2, "cells_partial": 1, "households_delta": 5, "households_growth": 2.5},
+    }

@@ -11,7 +11,7 @@ from cadastra.registry import load
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A few of each module here; all of them run against DuckDB at sf0.01 in the driver.
-SOME = ["number_parse", "pip_assign", "period_metrics", "running_ytd", "suppressed_stats", "edition_full_join", "known_listings", "coverage_cube", "monthly_flow", "upsert_snapshot", "page_links", "resolution_rollup", "stream_daily_flow"]
+SOME = ["number_parse", "pip_assign", "period_metrics", "running_ytd", "suppressed_stats", "edition_full_join", "known_listings", "household_totals", "coverage_cube", "monthly_flow", "upsert_snapshot", "page_links", "resolution_rollup", "stream_daily_flow"]
 
 
 def rows(records: list[dict]) -> list:
