@@ -19,9 +19,9 @@ codes of one half of the examples, and the other half gives the rate of positive
 threshold of a kind is the lowest score from which that rate is ``PRECISION`` or more over at least
 ``LEAST`` proposals. Proposals that reach it and overlap no base span are added. A kind that has no such score isn't looked for.
 
-The examples are those of at most about ``EXAMPLES`` rows, taken by a 64-bit hash; everything else reads
-all documents. What goes to the driver is a count for each kind, code, label and half. The patterns
-read a run of characters once, so long texts take time in proportion to their length.
+The examples are all documents, which a hash deals to the two halves. What goes to the driver is a count
+for each kind, code, label and half. The patterns read a run of characters once, so long texts take time
+in proportion to their length.
 
 Rows: a null text is empty and has no spans. Positions are code points, the end exclusive. Repeated
 rows get a row each, and rows without a doc_id as well; other columns are ignored.
@@ -65,7 +65,7 @@ GENERATORS = {
 BEFORE = r"(?i)(?:pass|passwd|password|pwd|token|secret|api[_ -]?key|access[_ -]?key|bearer|auth)[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
 BEGINS = "(?:AKIA|ASIA|AIza|gh[opsu]_|github_pat_|xox[abps]-|sk-|sk_live_|eyJ)"
 HINTS = r"(?i)(?:mail|contact|tel|phone|call|fax|ip|host|server|card|visa|credit|pay)[a-z]*\W{0,3}$"
-EXAMPLES, ROUNDS, RATE, PRECISION, LEAST, CONTEXT = 20_000, 20, 0.3, 0.95, 5, 24
+ROUNDS, RATE, PRECISION, LEAST, CONTEXT = 20, 0.3, 0.95, 5, 24
 FEATURES = 12
 #: The feature, for all kinds but secrets, that a word such as ``call`` or ``mail`` stands before the span.
 HINT = 6
@@ -263,11 +263,9 @@ def threshold(trees: Iterable[Tree], counts: dict[int, tuple[int, int]]) -> floa
 
 
 def fit(docs: DataFrame) -> dict[str, tuple[list[Tree], float]]:
-    """Trees and threshold of each kind."""
-    share = min(1.0, EXAMPLES / max(1, docs.count()))
-    some = docs.filter(F.xxhash64("doc_id", "text", F.lit("examples")) <= min(2**63 - 1, int(share * 2**64) - 2**63))
-    some = some.withColumn("half", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))).select("half", "text")
-    each = reduce(DataFrame.unionByName, [_examples(some, k) for k in ADDED])
+    """Trees and threshold of each kind, from all documents."""
+    halves = docs.withColumn("half", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))).select("half", "text")
+    each = reduce(DataFrame.unionByName, [_examples(halves, k) for k in ADDED])
     counted: dict[tuple[str, int], dict[int, tuple[int, int]]] = {}
     for r in each.groupBy("half", "kind", "met", "code").count().collect():  # at most 2 x 5 x 2 x 4096 rows
         own = counted.setdefault((r["kind"], r["half"]), {})

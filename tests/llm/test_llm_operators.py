@@ -333,6 +333,12 @@ def test_boosting_separates_and_calibrates() -> None:
     assert pii.threshold(trees, {}) == float("inf")
 
 
+def test_rare_spans_among_many_rows_are_learned(spark: SparkSession) -> None:
+    rare = F.concat(F.lit("write to user"), F.col("id").cast("string"), F.lit("@example.org today"))
+    docs = spark.range(120_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5_000 == 0, rare).otherwise("nothing here").alias("text"))
+    assert pii.fit(docs)["email"][1] < float("inf")
+
+
 @pytest.mark.parametrize("slack", [0.0, 0.25])
 def test_shards(docs: DataFrame, empty: DataFrame, slack: float) -> None:
     rows = sharding.shard(docs.union(docs), 7, slack).collect()
