@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,45 +64,72 @@ def hulls(rows: DataFrame, parent: str, point: str) -> DataFrame:
     """Hull of the points of each parent. Equal points are dropped first, and every parent's points are
     first reduced in up to 64 parts, so that no task holds the points of a large parent."""
     ship(rows.sparkSession)
-    schema = f"{parent} string, part long, ring array<struct<lon:double,lat:double>>"
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = _hull(list(zip(pdf["lon"], pdf["lat"], strict=True)))
-        return pd.DataFrame({parent: [pdf[parent].iloc[0]], "part": [0], "ring": [[{"lon": x, "lat": y} for x, y in ring]]})
-
     flat = rows.select(F.col(parent).cast("string").alias(parent), F.col(f"{point}.lon").alias("lon"), F.col(f"{point}.lat").alias("lat")).distinct()
-    part = flat.withColumn("part", F.pmod(F.xxhash64("lon", "lat"), F.lit(64))).groupBy(parent, "part").applyInPandas(of, schema)
-    return part.select(parent, F.explode("ring").alias("p")).select(parent, "p.lon", "p.lat").distinct().groupBy(parent).applyInPandas(of, schema).drop("part")
-
-
-def _simple(line: list, tolerance: float) -> list:
-    if len(line) < 3 or tolerance <= 0:
-        return list(line)
-    xy = np.array([(p["lon"], p["lat"]) for p in line])
-    keep, todo = {0, len(line) - 1}, [(0, len(line) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        d, rest = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        square = float(d @ d)
-        along = np.clip(rest @ d / square, 0.0, 1.0) if square else np.zeros(len(rest))
-        far = np.hypot(*(rest - along[:, None] * d).T)  # from the segment, not from the line through it
-        i = int(np.argmax(far))
-        if far[i] > tolerance:
-            keep.add(a + 1 + i)
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    return [line[i] for i in sorted(keep)]
+    schema = f"{parent} string, ring array<struct<lon:double,lat:double>>"
+    pairs = F.collect_list(F.struct("lon", "lat")).alias("points")
+    part = flat.groupBy(parent, F.pmod(F.xxhash64("lon", "lat"), F.lit(64)).alias("part")).agg(pairs).select(parent, "points").mapInArrow(_rings, schema)
+    joined = part.groupBy(parent).agg(F.flatten(F.collect_list("ring")).alias("points"))
+    return joined.mapInArrow(_rings, schema)
+
+
+def _rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (parent, points) to (parent, ring): many small groups a batch, as a frame for each would cost far more than its hull."""
+    for batch in batches:
+        own = batch.column(1)
+        flat, ends = own.flatten(), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
+        lon, lat = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("lon", "lat"))
+        rings = [_hull(list(zip(lon[a:b], lat[a:b], strict=True))) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        places = np.array([p for ring in rings for p in ring], float).reshape(-1, 2)
+        sizes = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rings])]), pa.int32())
+        xy = pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1])], names=["lon", "lat"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(sizes, xy)], names=[batch.schema.names[0], "ring"])
+
+
+def _kept(x: np.ndarray, y: np.ndarray, ends: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of many lines stay; line ``i`` has those from ``ends[i]`` to ``ends[i + 1]``. All lines are cut at once, a round a depth."""
+    sizes = np.diff(ends)
+    if tolerance <= 0:
+        return np.ones(len(x), bool)
+    keep = np.zeros(len(x), bool)
+    some = sizes > 0
+    keep[ends[:-1][some]] = keep[ends[1:][some] - 1] = True
+    a, b = ends[:-1][sizes > 2], ends[1:][sizes > 2] - 1
+    while len(a):
+        n = b - a - 1
+        first = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(of)) - first[of] + a[of] + 1
+        dx, dy = (x[b] - x[a])[of], (y[b] - y[a])[of]
+        rx, ry = x[at] - x[a][of], y[at] - y[a][of]
+        square = dx * dx + dy * dy
+        along = np.clip(np.divide(rx * dx + ry * dy, square, out=np.zeros(len(of)), where=square != 0), 0.0, 1.0)
+        far = np.hypot(rx - along * dx, ry - along * dy)  # from the segment, not from the line through it
+        most = np.maximum.reduceat(far, first)
+        far_at = np.minimum.reduceat(np.where(far == most[of], at, len(x)), first)
+        split = most > tolerance
+        mid = far_at[split]
+        keep[mid] = True
+        a, b = np.concatenate([a[split], mid]), np.concatenate([mid, b[split]])
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+    return keep
 
 
 def simplified(df: DataFrame, line: str, tolerance: float) -> DataFrame:
     """``df`` with ``simple``, the line without vertices nearer than the tolerance, and whether any was lost."""
     ship(df.sparkSession)
 
-    @F.pandas_udf("array<struct<lon:double,lat:double>>")
-    def cut(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for each in lines:
-            yield each.map(lambda x: _simple(list(x), tolerance))
-
-    out = df.withColumn("simple", cut(line))
-    return out.withColumn("lost", F.size("simple") < F.size(line))
+    @F.arrow_udf("array<int>")
+    def stay(lons: pa.Array, lats: pa.Array) -> pa.Array:
+        sizes = lons.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        x, y = (c.flatten().to_numpy(zero_copy_only=False) for c in (lons, lats))
+        keep = _kept(x, y, ends, tolerance)
+        place = (np.arange(len(x)) - np.repeat(ends[:-1], sizes))[keep]
+        offsets = np.concatenate([[0], np.cumsum(keep)])[ends]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int32()))
+
+    of = lambda axis: F.transform(line, lambda p: p[axis].cast("double"))
+    out = df.withColumn("_stay", stay(of("lon"), of("lat")))
+    place = lambda i: F.struct(F.get(line, i)["lon"].cast("double").alias("lon"), F.get(line, i)["lat"].cast("double").alias("lat"))
+    return out.withColumn("simple", F.when(F.col(line).isNotNull(), F.transform("_stay", place))).withColumn("lost", F.size("simple") < F.size(line)).drop("_stay")

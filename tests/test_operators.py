@@ -5,6 +5,7 @@ import heapq
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -255,3 +256,21 @@ def test_edition_totals_count_each_place_once_an_edition(spark: SparkSession) ->
         "RA_01": {"region": "RA_01", "households_2010": 13, "households_2022": 11, "pop_2010": 39, "pop_2022": 32, "cells_2010": 2, "cells_2022": 2, "cells_partial": 2, "households_delta": -2, "households_growth": -0.1538},
         "SEM_RA": {"region": "SEM_RA", "households_2010": 2, "households_2022": 7, "pop_2010": 5, "pop_2022": 11, "cells_2010": 1, "cells_2022": 2, "cells_partial": 1, "households_delta": 5, "households_growth": 2.5},
     }
+
+
+def test_hulls_of_many_small_groups_make_no_frame_a_group(spark: SparkSession) -> None:
+    rows = spark.range(3_000).select((F.col("id") % 400).cast("string").alias("parent"), F.struct((F.col("id") % 7).cast("double").alias("lon"), (F.col("id") % 11).cast("double").alias("lat")).alias("point"))
+    rows = rows.union(spark.createDataFrame([("one", (1.0, 2.0)), ("two", (1.0, 2.0)), ("two", (0.0, 2.0))], rows.schema))
+    hulls = spatial.hulls(rows, "parent", "point")
+    got = {r["parent"]: [tuple(p) for p in r["ring"]] for r in hulls.collect()}
+    points: dict[str, list] = {}
+    for r in rows.collect():
+        points.setdefault(r["parent"], []).append(tuple(r["point"]))
+    assert got == {k: spatial._hull(v) for k, v in points.items()}
+    assert "FlatMapGroupsInPandas" not in hulls._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_batch_are_cut_at_once() -> None:
+    ends = np.array([0, 0, 1, 3, 8, 8, 12])
+    x, y = np.array([5.0, 0, 1, 0, 1, 2, 3, 4, 0, 1, 1, 0]), np.array([5.0, 0, 0, 0, 9, 0, 0.1, 0, 0, 0, 1, 0])
+    assert spatial._kept(x, y, ends, 0.5).tolist() == [True, True, True, True, True, True, False, True, True, True, True, True]
