@@ -22,7 +22,8 @@ def profile_findings(df: DataFrame, ident: str, income: str, shares: Sequence[st
 
     A blank cell breaks no rule; the sum is judged only where every share is right.
     """
-    n = {c: number(F.col(c).cast("string")) for c in (income, *shares)}
+    df = df.withColumns({f"_n_{c}": number(F.col(c).cast("string")) for c in (income, *shares)})  # read once, however many rules name them
+    n = {c: F.col(f"_n_{c}") for c in (income, *shares)}
     wrong = {c: ~blank(F.col(c)) & F.coalesce((n[c] < 0) | (n[c] > 100), F.lit(True)) for c in shares}
     total = sum((n[c] for c in shares), F.lit(0.0))
     rules = [Rule("invalid_income", "error", ~blank(F.col(income)) & F.coalesce(n[income] < 0, F.lit(True)))]

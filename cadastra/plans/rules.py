@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators import rules as R
-from cadastra.registry import query, table
+from cadastra.registry import query, spread, table
 
 _SHARES = [f"s{i}" for i in range(5)]
 
@@ -18,7 +18,7 @@ UNION ALL SELECT id, 'invalid_percentage:s4', 'error' FROM b WHERE s[5] > 100 OR
 UNION ALL SELECT id, 'share_sum', 'warning' FROM b WHERE abs(total - 100) > 2 AND abs(total - 1) > 0.02""")
 def profile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    p = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 11 != 0, F.col("c_acctbal").cast("string")).alias("income"), *(((k * (i + 3)) % 41).cast("string").alias(f"s{i}") for i in range(5)))
+    p = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")).select(k.alias("id"), F.when(k % 11 != 0, F.col("c_acctbal").cast("string")).alias("income"), *(((k * (i + 3)) % 41).cast("string").alias(f"s{i}") for i in range(5)))
     return R.profile_findings(p, "id", "income", _SHARES)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import filters, graph, joins, lifecycle, period, quality, rollup, spatial, stats, survey
+from cadastra.operators import filters, graph, joins, lifecycle, period, quality, rollup, rules, spatial, stats, survey
 from cadastra.operators.period import Metric
 from cadastra.sources import files
 from cadastra.streaming.lifecycle import lifecycle_events
@@ -274,3 +274,10 @@ def test_lines_of_a_batch_are_cut_at_once() -> None:
     ends = np.array([0, 0, 1, 3, 8, 8, 12])
     x, y = np.array([5.0, 0, 1, 0, 1, 2, 3, 4, 0, 1, 1, 0]), np.array([5.0, 0, 0, 0, 9, 0, 0.1, 0, 0, 0, 1, 0])
     assert spatial._kept(x, y, ends, 0.5).tolist() == [True, True, True, True, True, True, False, True, True, True, True, True]
+
+
+def test_a_profile_reads_each_number_once(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([(1, "-1", "50", "50"), (2, "", "101", "x"), (3, "5", "10", "20")], "id long, income string, a string, b string")
+    found = rules.profile_findings(rows, "id", "income", ["a", "b"])
+    assert {(r["id"], r["code"]) for r in found.collect()} == {(1, "invalid_income"), (2, "invalid_percentage:a"), (2, "invalid_percentage:b"), (3, "share_sum")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("reais") <= 12
