@@ -30,12 +30,13 @@ from pyspark.sql.types import Row, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers need no copy of the package
 
-#: Bytes of a range.
-SPLIT = 32 << 20
+#: Bytes of a range, and of the ranges that one task reads one after the other.
+SPLIT = TASK = 32 << 20
 #: The digest's modulus and base: a sum of bytes times powers of the base.
 MODULUS, BASE = 2**31 - 1, 1_000_003
 HEAD, TAIL = b'{"type":"FeatureCollection","features":[', b"\n]}\n"
-_STEP = 1 << 20
+#: Bytes read at once, and those first read to find the end of an element that goes on behind its range.
+_STEP, _AHEAD = 1 << 20, 1 << 12
 
 
 class Joined:
@@ -109,6 +110,20 @@ class Range(InputPartition):
     opens: int = 0
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads; small ranges so make no more tasks than large ones."""
+
+    own: list[Range]
+
+
+def _grouped(ranges: list[Range], task: int) -> list[Ranges]:
+    groups: dict[int, list[Range]] = {}
+    for r in ranges:
+        groups.setdefault(r.start // task, []).append(r)
+    return [Ranges(own) for own in groups.values()]
+
+
 class RangeSource(DataSource):
     """First scan: for each range and each state it may begin in, what it does to the state."""
 
@@ -126,12 +141,17 @@ class RangeSource(DataSource):
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.key, self.split = options["path"], options["key"], int(options["split"])
+        self.task = int(options.get("task", self.split))
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(a, b) for a, b in _ranges(Joined(self.path).size, self.split)]
+        return _grouped([Range(a, b) for a, b in _ranges(Joined(self.path).size, self.split)], self.task)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         source = Joined(self.path)
+        for own in partition.own:
+            yield from self.told(source, own)
+
+    def told(self, source: Joined, partition: Range) -> Iterator[tuple]:
         data = source.read(partition.start, partition.end)
         inside, change = _marks(data, source.escapes(partition.start))
         # a key may go on in the next range: it belongs to the range in which it begins
@@ -161,22 +181,29 @@ class ElementSource(DataSource):
 
 class ElementReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.ranges = options["path"], [Range(*r) for r in json.loads(options["ranges"])]
+        self.path, self.ranges, self.task = options["path"], [Range(*r) for r in json.loads(options["ranges"])], int(options.get("task", 1))
 
     def partitions(self) -> list[InputPartition]:
-        return self.ranges or [Range(0, 0)]
+        return _grouped(self.ranges, self.task) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         source = Joined(self.path)
+        for own in partition.own:
+            yield from self.elements(source, own)
+
+    def elements(self, source: Joined, partition: Range) -> Iterator[tuple]:
         at, depth, quoted = partition.start, partition.depth, partition.inside
-        begun, held = None, []
+        begun, held, ahead = None, [], _AHEAD
         if partition.opens > at:  # the array opens inside this range
             data = source.read(at, partition.opens)
             inside, change = _marks(data, source.escapes(at))
             depth += int(np.where(inside ^ quoted, 0, change).sum())
             quoted, at = bool(inside[-1]) ^ quoted, partition.opens
         while at < source.size and (at < partition.end or begun is not None):
-            data = source.read(at, min(at + _STEP, partition.end) if at < partition.end else at + _STEP)
+            if at < partition.end:
+                data = source.read(at, min(at + _STEP, partition.end))
+            else:
+                data, ahead = source.read(at, at + ahead), min(2 * ahead, _STEP)
             inside, change = _marks(data, source.escapes(at))
             level = depth + np.cumsum(np.where(inside ^ quoted, 0, change), dtype=np.int64)
             before = np.concatenate([[depth], level[:-1]])
@@ -220,15 +247,17 @@ def folded(told: dict[tuple[int, bool], tuple], size: int, split: int) -> list[t
 def scan_elements(spark: SparkSession, path: str, key: str, split: int = SPLIT) -> DataFrame:
     """``at, element``: each object of the array that the root object of a JSON file holds under ``key``, as text.
 
-    ``path`` is a file or a folder of parts; a range of ``split`` bytes is a task. A file without the key, or
+    ``path`` is a file or a folder of parts; it is cut in ranges of ``split`` bytes, and a task reads
+    one or more, so that there are some tasks a core, or one for ``TASK`` bytes. A file without the key, or
     an empty one, has no element. The folded states are a few numbers a range.
     """
     spark.dataSource.register(RangeSource)
     spark.dataSource.register(ElementSource)
     size = Joined(path).size
-    rows = spark.read.format("json_ranges").options(path=path, key=key, split=split).load().collect() if size else []
+    task = max(split, min(TASK, -(-size // (4 * spark.sparkContext.defaultParallelism))))
+    rows = spark.read.format("json_ranges").options(path=path, key=key, split=split, task=task).load().collect() if size else []
     ranges = folded({(r.start, r.quoted): tuple(r) for r in rows}, size, split)
-    return spark.read.format("json_elements").options(path=path, ranges=json.dumps(ranges)).load()
+    return spark.read.format("json_elements").options(path=path, ranges=json.dumps(ranges), task=task).load()
 
 
 @dataclass

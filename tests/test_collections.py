@@ -111,3 +111,11 @@ def test_geometries_of_parts_equal_those_of_a_whole(spark: SparkSession, tmp_pat
     shape = "struct<id:long,note:string,ra:string>"
     of = lambda path, split: sorted(map(str, read_geometries(spark, str(path), shape, (), split).select("id", "note", "kind", F.to_json("polygons")).collect()))
     assert of(whole, None) == of(whole, 3000) == of(tmp_path / "c", 1000)
+
+
+def test_small_ranges_make_no_more_tasks(spark: SparkSession, tmp_path: Path) -> None:
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps({"features": [{"id": i, "note": "x" * 50} for i in range(2_000)]}))
+    found = C.scan_elements(spark, str(path), "features", split=512)
+    assert 1 < found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+    assert [json.loads(r["element"])["id"] for r in found.orderBy("at").collect()] == list(range(2_000))
