@@ -19,6 +19,7 @@ VERTICAL, HORIZONTAL = ("apartamento", "predio", "kitnet"), ("casa", "casa_condo
 #: How exact a position is.
 EXACT = "(polygon_reference_point|building_reference_point|official_wfs_point)"
 DOWNGRADING = "(low_spatial|medium_spatial|medium_coordinate|medium_high|user_supplied|approx|pending|centroid|jitter)"
+_FIGURES, _AS_IS = r"^[-+]?[0-9.,]+\z", r"^[-+]?[0-9]*+\.?[0-9]++\z"
 _CURRENCY = r"(?i)^\s*(?:R\$|BRL)\s*|\s*(?:R\$|BRL|reais)\s*$"
 _UNIT = r"(?i)\s*(?:%|m²|m2|/m²|/m2)\s*$"
 _ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
@@ -48,7 +49,7 @@ def ratio(a: Column, b: Column) -> Column:
 def number(text: Column) -> Column:
     """A number in either convention: the last separator is the decimal one, but for thousands."""
 
-    def of(s: Column, currency: Column) -> Column:
+    def value(s: Column, currency: Column) -> Column:
         comma, dot = F.instr(F.reverse(s), ","), F.instr(F.reverse(s), ".")  # from the end
         commas, dots = F.length(s) - F.length(F.translate(s, ",", "")), F.length(s) - F.length(F.translate(s, ".", ""))
         plain = (
@@ -57,10 +58,13 @@ def number(text: Column) -> Column:
             .when((dots > 1) | ((dots == 1) & currency & (dot == 4)), F.translate(s, ".", ""))
             .otherwise(s)
         )
-        return F.when(s.rlike("^[-+]?[0-9.,]+$"), plain.try_cast("double"))
+        return plain.try_cast("double")
 
+    of = lambda x: F.when(x["s"].rlike(_FIGURES), value(x["s"], x["currency"]))
     bare = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _CURRENCY, ""), _UNIT, ""), "[\\s\u00a0]", "")
-    return let(F.trim(text), lambda t: let(F.struct(bare(t).alias("s"), t.rlike(_CURRENCY).alias("currency")), lambda x: of(x["s"], x["currency"])))
+    # most texts are figures alone, which have no currency, unit or blank to take off, and many need no look at their separators
+    dressed = lambda t: let(F.struct(bare(t).alias("s"), t.rlike(_CURRENCY).alias("currency")), of)
+    return let(F.trim(text), lambda t: F.when(t.rlike(_AS_IS), t.try_cast("double")).when(t.rlike(_FIGURES), value(t, F.lit(False))).when(t.rlike("[0-9]"), dressed(t)))
 
 
 def integer(text: Column) -> Column:

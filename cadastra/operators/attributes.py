@@ -18,10 +18,11 @@ def _read(kind: Column, value: Column, unit: Column, options: Column) -> Column:
     bare = F.when(unit.isNotNull() & F.lower(value).endswith(F.lower(unit)), F.trim(F.substr(value, F.lit(1), F.char_length(value) - F.char_length(unit)))).otherwise(value)
     amount = S.number(bare)
     text = lambda v: F.get(F.regexp_extract_all(F.to_json(F.struct(v.alias("v"))), F.lit(r"(?s)^\{\"v\":(.*)\}$"), F.lit(1)), 0)
-    of = lambda json, reason: F.struct(json.cast("string").alias("json"), F.when(json.isNull(), reason).alias("reason"))
+    of = lambda json, reason: S.let(json.cast("string"), lambda j: F.struct(j.alias("json"), F.when(j.isNull(), reason).alias("reason")))
+    whole = S.let(amount, lambda n: F.when(n == F.floor(n), F.floor(n)))
     chosen = F.get(F.filter(options, lambda o: F.lower(o) == F.lower(value)), 0)
     return (
-        F.when(kind == "number", of(amount, "not_a_number")).when(kind == "integer", of(F.when(amount == F.floor(amount), F.floor(amount)), "not_an_integer"))
+        F.when(kind == "number", of(amount, "not_a_number")).when(kind == "integer", of(whole, "not_an_integer"))
         .when(kind == "flag", of(S.flag_or_null(value), "not_a_flag")).when(kind == "date", of(text(S.calendar_date(value).cast("string")), "not_a_date"))
         .when(kind == "option", of(text(chosen), "not_an_option")).when(kind == "text", of(text(value), "not_a_text")).otherwise(of(F.lit(None), "unknown_kind"))
     )

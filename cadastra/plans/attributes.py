@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators import attributes as A
-from cadastra.registry import query, table
+from cadastra.registry import query, spread, table
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
         "a9": F.lit("lost"), "a8": F.lit("  "),
     }
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), v.alias("value")) for a, v in given.items())))
-    return table(spark, sf_dir, "part").select(k.alias("ident"), each.alias("x")).select("ident", "x.*")
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")).select(k.alias("ident"), each.alias("x")).select("ident", "x.*")
 
 
 @query("""SELECT p_partkey AS ident, 'a0' AS attribute, CASE WHEN p_partkey % 7 <> 0 THEN (CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.5 ELSE p_size END)::DOUBLE::VARCHAR END AS value, CASE WHEN p_partkey % 7 = 0 THEN 'not_a_number' END AS reason FROM part

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import filters, graph, joins, lifecycle, period, quality, rollup, rules, spatial, stats, survey
+from cadastra.functions import scalar
+from cadastra.operators import attributes, filters, graph, joins, lifecycle, period, quality, rollup, rules, spatial, stats, survey
 from cadastra.operators.period import Metric
 from cadastra.sources import files
 from cadastra.streaming.lifecycle import lifecycle_events
@@ -281,3 +282,14 @@ def test_a_profile_reads_each_number_once(spark: SparkSession) -> None:
     found = rules.profile_findings(rows, "id", "income", ["a", "b"])
     assert {(r["id"], r["code"]) for r in found.collect()} == {(1, "invalid_income"), (2, "invalid_percentage:a"), (2, "invalid_percentage:b"), (3, "share_sum")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("reais") <= 12
+
+
+def test_an_attribute_reads_its_number_once_for_a_kind(spark: SparkSession) -> None:
+    read = str(attributes._read(*map(F.col, ("kind", "value", "unit", "options"))))
+    assert 0 < read.count("reais") <= 6  # of a number, a whole number and a date's serial
+
+
+def test_figures_in_other_dress(spark: SparkSession) -> None:
+    texts = {"1,234\n": 1234.0, "1.234,5": 1234.5, "1,5": 1.5, "12.5": 12.5, "R$ 1.234": 1234.0, "1.234": 1.234, ".5": 0.5, "..": None, "-": None, "x1": None, "7 %": 7.0, "": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalar.number(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == texts
