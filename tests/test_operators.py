@@ -144,6 +144,20 @@ def test_betweenness_against_a_plain_search(spark: SparkSession) -> None:
     assert got == {e: pytest.approx(want.get(e, 0.0)) for e, *_ in edges}
 
 
+@pytest.mark.parametrize("front", [0, 200_000])
+def test_betweenness_keeps_no_arcs_out_of_reach(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, front: int) -> None:
+    held, cut = [], graph._cut
+    monkeypatch.setattr(graph, "FRONT", front, raising=False)
+    monkeypatch.setattr(graph, "_cut", lambda df: held.append((out := cut(df)).count()) or out)
+    names = [r["s"] for r in spark.range(200).select(F.concat(F.lit("n"), "id").alias("s")).orderBy(F.xxhash64("s"), "s").collect()]
+    near = [(i, names[i], names[i + 1], 1.0, False) for i in range(4)] + [(4, names[0], names[1], 1.0, False)]
+    far = [(10 + i, names[5 + i % 195], names[5 + i * 7 % 195], 1.0, False) for i in range(1, 500)]
+    got = graph.edge_betweenness(spark.createDataFrame(near + far, "edge int, u string, v string, length double, oneway boolean"), sources=1)
+    want = {0: 2 / 3, 1: 1.0, 2: 2 / 3, 3: 1 / 3, 4: 2 / 3}  # the first node by hash begins the near path
+    assert {r["edge"]: r["betweenness"] for r in got.collect()} == {e: pytest.approx(want.get(e, 0.0)) for e, *_ in near + far}
+    assert front == 0 or max(held) <= 2 * len(near)
+
+
 def test_hull_of_a_square(spark: SparkSession) -> None:
     rows = [("p", {"lon": float(x), "lat": float(y)}) for x in range(3) for y in range(3)]
     ring = spatial.hulls(spark.createDataFrame(rows, "parent string, point struct<lon:double,lat:double>"), "parent", "point").first()["ring"]
