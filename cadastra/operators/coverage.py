@@ -52,8 +52,12 @@ def history(snapshot: DataFrame, month_end: Column, inactive_at: str, seen: str)
 
 
 def close_month(history_rows: DataFrame, path: str) -> None:
-    """Rewrite the months that the rows hold and leave older ones untouched."""
-    history_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("reference_month").parquet(path)
+    """Rewrite the months that the rows hold and leave older ones untouched.
+
+    The rows are gathered by month, a large month over several tasks, so there are few files a month and not
+    one from every task. Months are replaced once all is written, so the rows may come from them.
+    """
+    history_rows.hint("rebalance", "reference_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("reference_month").parquet(path)
 
 
 def close_months(updates: DataFrame, path: str, state: str) -> None:
@@ -72,8 +76,7 @@ def close_months(updates: DataFrame, path: str, state: str) -> None:
             rows = spark.read.schema(batch.schema).parquet(path).filter(F.col("reference_month").isin(months)).unionByName(batch)
         rest = [c for c in batch.columns if c not in ("reference_month", "id")]
         newest = rows.groupBy("reference_month", "id").agg(F.max_by(F.struct(*rest), F.struct("seen", *rest)).alias("r"))
-        # the months are read before they are replaced
-        close_month(cut(newest.select("reference_month", "id", "r.*")), path)
+        close_month(newest.select("reference_month", "id", "r.*"), path)
 
     updates.writeStream.foreachBatch(close).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
