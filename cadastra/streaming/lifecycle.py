@@ -1,12 +1,16 @@
 """The life cycle of listings as a stream: one small state a listing, events as output.
 
-Checks may arrive in any order within the watermark's delay: each waits in its listing's state until the
-watermark has passed it, and timers at the checks' own times fold them in order.
+Checks may arrive in any order within the watermark's delay: each waits until the watermark has passed it,
+and a timer at the earliest one's time folds all that the watermark has passed, in order. A call of the
+state machine costs far more than a check, so listings are dealt to ``GROUPS`` groups that wait together and
+share a timer a batch; each listing has its own state in its group's map.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +26,8 @@ STATE = "status string, failures int, price double, last string, day string"
 
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of listings that wait together.
+GROUPS = 1024
 _START = ("active", 0, None, None, None)
 
 
@@ -63,37 +69,42 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 class Lifecycle(StatefulProcessor):
-    """Checks wait until the watermark has passed them; then they are folded in order of time and number."""
+    """Checks of a group of listings wait until the watermark has passed them; then each listing's are folded in order of time and number."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, seq long, outcome string, price double")
-        self.known = handle.getValueState("known", STATE)
+        # a row a batch that arrived; the state of a listing is met only when it has checks to fold
+        self.waiting = handle.getListState("waiting", "listing array<long>, us array<long>, seq array<long>, outcome array<string>, price array<double>")
+        self.known = handle.getMapState("known", "listing long", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        timers = set()
+        first = None
         for batch in rows:
-            taken = [(int(r.us), int(r.seq), r.outcome, None if pd.isna(r.price) else float(r.price)) for r in batch.itertuples(index=False)]
-            self.waiting.appendList(taken)
-            timers |= {us // 1000 + 1 for us, *_ in taken}
-        for at in sorted(timers):
-            self.handle.registerTimer(at)
+            listing, us, seq, outcome = (batch[c].tolist() for c in ("listing", "us", "seq", "outcome"))
+            self.waiting.appendList([(listing, us, seq, outcome, [None if pd.isna(p) else p for p in batch["price"].tolist()])])
+            first = min(us) if first is None else min(first, *us)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [r for r in held if r[0] < until], [r for r in held if r[0] >= until]
+        held = [check for r in self.waiting.get() for check in zip(*r, strict=True)] if self.waiting.exists() else []
+        due, rest = sorted(c for c in held if c[1] < until), [c for c in held if c[1] >= until]
         if due:
-            before = tuple(self.known.get()) if self.known.exists() else _START
-            after, out = folded(before, ((pd.Timestamp(us * 1000), outcome, price) for us, _, outcome, price in due))
-            self.known.update(after)
+            events = []
+            for listing, own in groupby(due, itemgetter(0)):
+                before = self.known.getValue((listing,))
+                after, out = folded(_START if before is None else tuple(before), ((pd.Timestamp(us * 1000), outcome, price) for _, us, _, outcome, price in own))
+                self.known.updateValue((listing,), after)
+                events += [(listing, *e) for e in out]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+                self.handle.registerTimer(min(us for _, us, *_ in rest) // 1000 + 1)
             else:
                 self.waiting.clear()
-            if out:
-                yield _events(key[0], out)
+            if events:
+                yield pd.DataFrame(events, columns=["listing", "at", "event", "price"])
 
     def close(self) -> None:
         pass
@@ -107,7 +118,7 @@ def lifecycle_unordered(checks: DataFrame, delay: str) -> DataFrame:
     """
     ship(checks.sparkSession)
     rows = checks.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
-    return rows.groupBy("listing").transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
+    return rows.withColumn("group", F.pmod(F.xxhash64("listing"), F.lit(GROUPS))).groupBy("group").transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
 
 
 def lifecycle_events(checks: DataFrame) -> DataFrame:

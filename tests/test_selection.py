@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import geometry as G
 from cadastra.operators import attributes as A
 from cadastra.operators import lifecycle, quadtree, selection
-from cadastra.streaming.lifecycle import STORE, lifecycle_unordered
+from cadastra.streaming.lifecycle import STORE, Lifecycle, lifecycle_unordered
 
 
 def numbers(spark: SparkSession):
@@ -93,6 +94,55 @@ def test_deflation_stops_at_a_missing_year(spark: SparkSession) -> None:
     assert got == {("a", 2000): 133.1, ("a", 2001): 121.0, ("a", 2002): 110.0, ("a", 2003): 100.0, ("a", 2004): 90.909091, ("a", 2005): None, ("a", 2006): None, ("a", 2007): None, ("b", 2003): 50.0, ("b", 2004): None}
 
 
+def test_listings_that_wait_together_have_one_timer_a_batch() -> None:
+    class State:
+        held: list | tuple | None = None
+
+        def exists(self) -> bool:
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def put(self, value) -> None:
+            self.held = value
+
+        update = put
+
+        def appendList(self, rows: list) -> None:  # noqa: N802
+            self.held = [*(self.held or []), *rows]
+
+        def clear(self) -> None:
+            self.held = None
+
+        def getValue(self, key: tuple):  # noqa: N802
+            return (self.held or {}).get(key)
+
+        def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+            self.held = {**(self.held or {}), key: value}
+
+    class Handle:
+        def __init__(self) -> None:
+            self.timers: list[int] = []
+            self.registerTimer = self.timers.append
+            self.getListState = self.getMapState = lambda *_: State()
+
+    class Now:
+        def __init__(self, ms: int) -> None:
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, lifecycle_of = Handle(), Lifecycle()
+    lifecycle_of.init(handle)
+    days = [0, 40, 1, 2, 3, 41]  # gone on four days, seen again on a later one
+    rows = pd.DataFrame({"listing": [7] * len(days), "us": [(1_000 + d) * 86_400_000_000 for d in days], "seq": days, "outcome": ["ok" if d > 3 else "gone" for d in days], "price": [None] * len(days)})
+    list(lifecycle_of.handleInputRows((1,), iter([rows[:3], rows[3:], rows[:5].assign(listing=8)]), Now(0)))
+    assert handle.timers == [1_000 * 86_400_000 + 1]
+    first = pd.concat(lifecycle_of.handleExpiredTimer((1,), Now(1_010 * 86_400_000), Now(handle.timers[0])))
+    assert list(zip(first["listing"], first["event"], strict=True)) == [(7, "deactivated"), (8, "deactivated")] and handle.timers[1:] == [1_040 * 86_400_000 + 1]
+    last = pd.concat(lifecycle_of.handleExpiredTimer((1,), Now(1_050 * 86_400_000), Now(handle.timers[1])))
+    assert list(zip(last["listing"], last["event"], strict=True)) == [(7, "reactivated"), (8, "reactivated")] and len(handle.timers) == 2
+
+
 def test_checks_in_any_order_give_the_events_of_the_fold(spark: SparkSession, tmp_path: Path) -> None:
     rng = random.Random(3)
     day = 86_400
