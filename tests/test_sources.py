@@ -94,6 +94,13 @@ def test_months_are_closed_by_a_stream(spark: SparkSession, tmp_path: Path) -> N
     assert got == [("2023-12", 1, "active"), ("2024-01", 1, "inactive"), ("2024-01", 2, "active"), ("2024-02", 3, "active")]
 
 
+def test_a_closed_month_has_few_files(spark: SparkSession, tmp_path: Path) -> None:
+    rows = spark.range(400).selectExpr("id", "concat('2024-0', 1 + id % 3) AS reference_month").repartition(8)
+    coverage.close_month(rows, str(tmp_path / "out"))
+    assert [len(list(d.glob("part-*"))) for d in sorted((tmp_path / "out").glob("reference_month=*"))] == [1, 1, 1]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+
+
 def test_column_roles() -> None:
     names = ["sold", "sold_ytd", "sold_calc", "sold_diff_pct", "sold_yoy_pp", "rent_mom", "note", "extra"]
     assert list(records.roles(names, ["sold"], ["note"]).values()) == ["metric", "ytd", "check", "check", "variation", "undeclared", "metadata", "unknown"]
