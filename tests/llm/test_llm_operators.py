@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadastra.llm import common, decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, packing, pii, sharding, substring_dedup, url_filter
+from cadastra.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that a careless join or schema would clash with.
@@ -140,6 +142,22 @@ def test_hot_buckets_give_the_same(docs: DataFrame, monkeypatch: pytest.MonkeyPa
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
 
 
+def test_cut_leaves_no_shuffle_on_disk(spark: SparkSession) -> None:
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllBlocks().mkString(" ")))
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()  # held on to, as callers do
+    before, was = shuffles(), spark.conf.get(key, None)
+    kept = cut(counts)
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(key, None) == was
+    assert sorted(kept.collect()) == sorted(counts.collect()) and kept.count() == 7
+
+
 def test_packing_round_trip(docs: DataFrame, empty: DataFrame) -> None:
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = docs.sparkSession.createDataFrame([(100, "É'll <|endoftext|>x ٣ Σς İ a\x1cb!!　漢 é"), (101, "x" * 5000 + " y" * 9000)], "doc_id long, text string")
