@@ -102,10 +102,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows met before in their bucket; rows come in order of bucket, doc_id and start."""
+    """Runs of windows met before in their bucket; rows come in order of bucket, doc_id and start."""
     bucket, seen, last = None, set(), None
     for batch in batches:
-        docs, starts = [], []
+        docs, starts, ns = [], [], []
         for minimiser, part, doc, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (minimiser, part) != bucket:
                 bucket, seen, last = (minimiser, part), set(), None
@@ -115,12 +115,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gaps = [-1, *[i for i, x in enumerate(words) if x == 32], len(words)]
             for j in range(len(gaps) - WINDOW):
                 window = words[gaps[j] + 1 : gaps[j + WINDOW]]
-                if window in seen:
+                if window not in seen:
+                    seen.add(window)
+                elif docs and docs[-1] == doc and starts[-1] + ns[-1] == start + j:
+                    ns[-1] += 1
+                else:
                     docs.append(doc)
                     starts.append(start + j)
-                else:
-                    seen.add(window)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([1] * len(docs), pa.int32())], names=["doc_id", "start", "n"])
+                    ns.append(1)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ns, pa.int32())], names=["doc_id", "start", "n"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     version, place = F.shiftright("start", PLACE), F.col("start").bitwiseAND((1 << PLACE) - 1).cast("int")
     travel = travel.groupBy("doc_id", version.alias("version")).agg(F.collect_list(F.struct("minimiser", "start", "n", "parts")).alias("kmers"))
     packed = texts.join(travel, ["doc_id", "version"]).select("doc_id", "text", "kmers", "version").mapInArrow(_packed, "minimiser long, part long, doc_id long, start long, words binary")
-    windows = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start long, n int")
+    # a cut, so that the texts and strings dealt out here have left the disk when the texts are dealt out again below
+    windows = cut(packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start long, n int"))
 
     repeats = copies.unionByName(windows).groupBy("doc_id", version.alias("version")).agg(F.collect_list(F.struct(place.alias("start"), "n")).alias("repeats"))
     return texts.join(repeats, ["doc_id", "version"], "left").select("doc_id", "text", "repeats").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")

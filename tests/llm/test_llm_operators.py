@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +159,19 @@ def test_cut_leaves_no_shuffle_on_disk(spark: SparkSession) -> None:
     assert sorted(kept.collect()) == sorted(counts.collect()) and kept.count() == 7
 
 
+def test_repeated_windows_travel_as_runs(docs: DataFrame) -> None:
+    text = [f"w{i}" for i in range(30)]
+    other = [*text[:24], "x", *text[25:], *text[:21]]  # its windows 0 to 4 and 30 to 31 were met before
+    rows = [(7, 0, 1, 0, " ".join(text)), (7, 0, 2, 3, " ".join(other)), (7, 1, 3, 0, " ".join(text))]
+    columns = [pa.array(c, t) for c, t in zip(zip(*[(*r[:4], r[4].encode()) for r in rows], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["minimiser", "part", "doc_id", "start", "words"])
+    found = [tuple(r.values()) for out in substring_dedup._repeats(iter([batch])) for r in out.to_pylist()]
+    assert found == [(2, 3, 5), (2, 33, 2)]
+    # the texts are dealt out for the strings and for the result in plans of their own
+    plan = substring_dedup.remove_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_kept" in plan and "_packed" not in plan
+
+
 def test_packing_round_trip(docs: DataFrame, empty: DataFrame) -> None:
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = docs.sparkSession.createDataFrame([(100, "É'll <|endoftext|>x ٣ Σς İ a\x1cb!!　漢 é"), (101, "x" * 5000 + " y" * 9000)], "doc_id long, text string")
