@@ -16,6 +16,8 @@ HOT, HOT_LEAST = 10_000, 200
 SALTS = 64
 #: Labels that have a smaller label themselves may be broadcast up to this many.
 LABELS = 200_000
+#: Graphs of up to so many ids have their labels broadcast.
+IDS = 100_000
 
 
 __all__ = ["components", "cut", "hot_keys", "shared_folder", "small", "spread_join", "table", "total_of"]
@@ -65,25 +67,36 @@ def total_of(c: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in ``links(a, b)``: columns ``v, component``.
 
-    Each round takes the smallest label among the neighbours and then follows the label's own label,
-    until no label changes. The links of a hub are dealt out; the labels that have a smaller one
-    themselves are broadcast while they are few, and else the members of a large component, which share a
-    label, are dealt out too. Minima are made partly before the shuffle.
+    Each round follows the label's own label and takes the smallest label among the neighbours, until no
+    label changes. The labels of ``IDS`` ids or fewer are broadcast, so that a round is one shuffle of few
+    tasks, of which the driver keeps a record each. Of more ids the links of a hub are dealt out; the labels
+    that have a smaller one themselves are broadcast while they are few, and else the members of a large
+    component, which share a label, are dealt out too. Minima are made partly before the shuffle.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    hubs = hot_keys(edges.groupBy("b").count(), ["b"])
-    now = cut(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
+    pairs = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")))  # an id is its own neighbour
+    edges = cut(links.select("a", "b").filter("a <> b").select(F.inline(pairs)).distinct())
+    now = cut(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")))
+    total, ids = now.agg(total_of(F.col("l")), F.count("*")).first()
+    hubs = hot_keys(edges.groupBy("b").count(), ["b"]) if ids > IDS else None
     before = None
-    while True:
-        total = now.agg(total_of(F.col("l"))).first()[0]
-        if total is None or total == before:
-            return now.withColumnRenamed("l", "component")
+    while total != before:
         before = total
-        low = spread_join(edges, now.withColumnRenamed("v", "b"), ["b"], hubs, ["a"]).groupBy("a").agg(F.min("l").alias("m"))
-        now = cut(now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l")))
-        labels = now.groupBy("l").count()
-        up = cut(labels.join(now.select(F.col("v").alias("l"), F.col("l").alias("up")), "l").filter("up < l"))
-        if up.count() > LABELS:
-            now = cut(spread_join(now, up.select("l", "up"), ["l"], hot_keys(up, ["l"]), ["v"], "left").select("v", F.coalesce("up", "l").alias("l")))
-        else:  # the next round reads the join as it is
-            now = now.join(F.broadcast(up.select("l", "up")), "l", "left").select("v", F.coalesce("up", "l").alias("l"))
+        if ids <= IDS:
+            up = now.join(F.broadcast(now.select(F.col("v").alias("l"), F.col("l").alias("up"))), "l").select(F.col("v").alias("b"), "up")
+            now = cut(edges.join(F.broadcast(up), "b").groupBy(F.col("a").alias("v")).agg(F.min("up").alias("l")))
+        else:
+            now = _relabelled(edges, now, hubs)
+        total = now.agg(total_of(F.col("l"))).first()[0]
+    return now.withColumnRenamed("l", "component")
+
+
+def _relabelled(edges: DataFrame, now: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """A round over any number of ids."""
+    low = spread_join(edges, now.withColumnRenamed("v", "b"), ["b"], hubs, ["a"]).groupBy("a").agg(F.min("l").alias("m"))
+    now = cut(now.join(low, F.col("v") == F.col("a")).select("v", F.least("l", "m").alias("l")))
+    labels = now.groupBy("l").count()
+    up = cut(labels.join(now.select(F.col("v").alias("l"), F.col("l").alias("up")), "l").filter("up < l"))
+    if up.count() > LABELS:
+        return cut(spread_join(now, up.select("l", "up"), ["l"], hot_keys(up, ["l"]), ["v"], "left").select("v", F.coalesce("up", "l").alias("l")))
+    # the next round reads the join as it is
+    return now.join(F.broadcast(up.select("l", "up")), "l", "left").select("v", F.coalesce("up", "l").alias("l"))

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     group = components(best.select(F.col("doc_id").alias("a"), F.col("gid").alias("b"))).select(F.col("v").alias("doc_id"), F.col("component").alias("gid"))
 
     # 2. the matrix
-    groups = classes.select("doc_id", "n").join(group, "doc_id", "left").join(part, "doc_id", "left").select("doc_id", "n", F.coalesce("gid", "doc_id").alias("gid"), F.coalesce("part", "doc_id").alias("part"))
+    groups = classes.select("doc_id", "n").join(group, "doc_id", "left").join(part, "doc_id", "left")
+    groups = cut(groups.select("doc_id", "n", F.coalesce("gid", "doc_id").alias("gid"), F.coalesce("part", "doc_id").alias("part")))
     large = cut(groups.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1"))
     groups = groups.join(small(large, BROADCAST), "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     groups = cut(groups.select("doc_id", "n", "gid", "part", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block")))

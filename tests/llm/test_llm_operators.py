@@ -143,6 +143,41 @@ def test_hot_buckets_give_the_same(docs: DataFrame, monkeypatch: pytest.MonkeyPa
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
 
 
+@pytest.mark.parametrize(("ids", "labels"), [(10**6, 10**6), (0, 10**6), (0, 0)])
+def test_components_over_few_and_many_ids(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, ids: int, labels: int) -> None:
+    monkeypatch.setattr(common, "IDS", ids, raising=False)
+    monkeypatch.setattr(common, "LABELS", labels)
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    rng = random.Random(5)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(500, 600 + i) for i in range(60)] + [(700 + i, 701 + i) for i in range(40)] + [(9, 9), (None, 3), (3, None)]
+    want = {x: x for a, b in links if a is not None and b is not None and a != b for x in (a, b)}
+    for _ in want:
+        for a, b in links:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    got = [tuple(r) for r in common.components(spark.createDataFrame(links, "a long, b long")).select("v", "component").collect()]
+    assert sorted(got) == sorted(want.items())
+
+
+def test_components_of_few_ids_take_few_tasks(spark: SparkSession) -> None:
+    # the driver keeps a record of every task: with many partitions a round of small tables filled its memory
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").coalesce(1)
+    sc, conf, group = spark.sparkContext, {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, "components"
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        assert {r["component"] for r in common.components(links).collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for s in stages if (x := sc.statusTracker().getStageInfo(s)))
+    assert 0 < tasks < 500
+
+
 def test_cut_leaves_no_shuffle_on_disk(spark: SparkSession) -> None:
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
