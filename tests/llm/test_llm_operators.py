@@ -207,6 +207,16 @@ def test_repeated_windows_travel_as_runs(docs: DataFrame) -> None:
     assert "_kept" in plan and "_packed" not in plan
 
 
+def test_small_cuts_ask_for_few_collections(spark: SparkSession) -> None:
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    cut(spark.range(1))
+    before, began = full.getCollectionCount(), time.monotonic()
+    for _ in range(5):
+        cut(spark.range(10))
+    assert full.getCollectionCount() - before <= 1 + (time.monotonic() - began) // 10
+
+
 def test_packing_round_trip(docs: DataFrame, empty: DataFrame) -> None:
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = docs.sparkSession.createDataFrame([(100, "É'll <|endoftext|>x ٣ Σς İ a\x1cb!!　漢 é"), (101, "x" * 5000 + " y" * 9000)], "doc_id long, text string")
