@@ -158,6 +158,37 @@ def test_betweenness_keeps_no_arcs_out_of_reach(spark: SparkSession, monkeypatch
     assert front == 0 or max(held) <= 2 * len(near)
 
 
+@pytest.mark.parametrize("hashes", [0, 1_000_000])
+def test_betweenness_holds_one_arc_between_two_nodes(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, hashes: int) -> None:
+    held, cut = [], graph._cut
+    monkeypatch.setattr(graph, "HASHES", hashes, raising=False)
+    monkeypatch.setattr(graph, "_cut", lambda df: held.append((out := cut(df)).count()) or out)
+    names = [r["s"] for r in spark.range(6).select(F.concat(F.lit("n"), "id").alias("s")).orderBy(F.xxhash64("s"), "s").collect()]
+    path = [(i, names[i], names[i + 1], 1.0, i % 2 == 0) for i in range(5)]
+    longer = [(10 + i, names[i % 5 + 1], names[i % 5], 2.0 + i, False) for i in range(300)]
+    loose = [(-1, names[0], names[0], 1.0, False), (-2, None, names[0], 1.0, False), (-3, names[0], None, 1.0, False)]
+    got = graph.edge_betweenness(spark.createDataFrame(path + longer + loose, "edge int, u string, v string, length double, oneway boolean"), sources=1)
+    want = {i: (5 - i) / 5 for i in range(5)}
+    assert {r["edge"]: r["betweenness"] for r in got.collect()} == {e: pytest.approx(want.get(e, 0.0)) for e, *_ in path + longer + loose}
+    assert max(held) <= 10
+
+
+@pytest.mark.parametrize("sources", [0, 1, 4, 30, 500])
+def test_first_nodes_without_telling_all_apart(spark: SparkSession, sources: int) -> None:
+    rnd = random.Random(8)
+    edges = [(i, f"n{rnd.randrange(150)}", f"n{rnd.randrange(150)}", 1.0, rnd.random() < 0.5) for i in range(400)] + [(400, "alone", "alone", 1.0, False), (401, None, "lost", 1.0, False)]
+    df = spark.createDataFrame(edges, "edge int, u string, v string, length double, oneway boolean")
+    nodes, around = graph._first_nodes(df, sources)
+    used = {n for _, u, v, *_ in edges if u and u != v for n in (u, v)}
+    order = [r["s"] for r in spark.createDataFrame([(n,) for n in used], "s string").orderBy(F.xxhash64("s"), "s").collect()]
+    first = set(order[:sources])
+    assert {r["s"] for r in nodes.collect()} == first
+    if around is not None:
+        from_first = {(r["u"], r["v"]) for r in graph.arcs(df).collect() if r["u"] in first}
+        assert from_first <= {(r["u"], r["v"]) for r in around.collect()}
+    assert (around is not None) == (sources in (1, 4))
+
+
 def test_hull_of_a_square(spark: SparkSession) -> None:
     rows = [("p", {"lon": float(x), "lat": float(y)}) for x in range(3) for y in range(3)]
     ring = spatial.hulls(spark.createDataFrame(rows, "parent string, point struct<lon:double,lat:double>"), "parent", "point").first()["ring"]
