@@ -173,6 +173,16 @@ def test_betweenness_holds_one_arc_between_two_nodes(spark: SparkSession, monkey
     assert max(held) <= 10
 
 
+def test_betweenness_makes_edges_distinct_in_small_parts(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(graph, "EDGES", 20, raising=False)
+    edges = [(i % 500, "a", "b" if i % 500 < 10 else "c", 1.0, True) for i in range(1000)]  # each comes twice
+    got = graph.edge_betweenness(spark.createDataFrame(edges, "edge int, u string, v string, length double, oneway boolean"))
+    assert got.rdd.getNumPartitions() == 50
+    rows = got.collect()
+    assert len(rows) == 500
+    assert {r["edge"]: r["betweenness"] for r in rows} == {i: pytest.approx(1.0 if i < 10 else 20 / 980) for i in range(500)}
+
+
 @pytest.mark.parametrize("sources", [0, 1, 4, 30, 500])
 def test_first_nodes_without_telling_all_apart(spark: SparkSession, sources: int) -> None:
     rnd = random.Random(8)
